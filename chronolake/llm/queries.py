@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embeddings, licenses, mixing, pii, quality, secrets, simhash, toxicity
+from . import decontamination, embeddings, licenses, mixing, pii, quality, secrets, simhash, substrings, toxicity
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_embeddings(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_quality, op3_simhash, op4_toxicity, op5_mixing, op6_decontamination, op7_secrets, op8_pii, op9_embeddings)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_quality, op3_simhash, op4_toxicity, op5_mixing, op6_decontamination, op7_secrets, op8_pii, op9_embeddings, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.scan_sql(), "op5_mixing": mixing.MIX_SQL}

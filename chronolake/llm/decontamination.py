@@ -71,8 +71,12 @@ def _balls() -> Column:
     for b, (_, length) in enumerate(BLOCKS):
         near = [0, *(1 << i for i in range(length)), *(1 << i | 1 << j for i in range(length) for j in range(i))]
         masks = F.array(*[F.lit(m).cast("long") for m in near if m.bit_count() <= BALL])
-        keys.append(F.transform(masks, lambda m, b=_block(F.col("fp"), b): b.bitwiseXOR(m)))
-    return F.concat(*(_tagged(k, i) for i, k in enumerate(keys)))
+        keys.append(_tagged(_flipped(_block(F.col("fp"), b), masks), b))
+    return F.concat(*keys)
+
+
+def _flipped(value: Column, masks: Column) -> Column:
+    return F.transform(masks, lambda m: value.bitwiseXOR(m))
 
 
 def _tagged(values: Column, block: int) -> Column:

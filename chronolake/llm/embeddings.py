@@ -156,8 +156,9 @@ def _meet(spread: DataFrame, cosine: float) -> DataFrame:
                 counts += c
                 tree += t
             start = end
-        rows = [(*c, None) for c in counts] + [(a, None, None, b) for a, b in tree]
-        yield pd.DataFrame(rows, columns=["rep", "ck", "links", "other"]).astype("Int64")
+        # columns with gaps are made as nullable integers at once: floats would round the 64-bit ck
+        rows = [*((*c, None) for c in counts), *((a, None, None, b) for a, b in tree)]
+        yield pd.DataFrame({c: pd.array([r[k] for r in rows], dtype="Int64") for k, c in enumerate(("rep", "ck", "links", "other"))})
 
     return cut.repartition(*key).sortWithinPartitions(*key).mapInPandas(of, "rep long, ck long, links long, other long")
 

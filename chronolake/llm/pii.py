@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -217,21 +218,28 @@ def anonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, columns: tuple[str, ...
     Null texts stay null, empty ones empty; repeated rows are treated alike; an
     empty table gives no rows; a text without entities comes back unchanged.
     """
+    return _replaced(docs, key, columns, ("n_entities", "n_distinct", "n_surrogates"))
+
+
+def _replaced(docs: DataFrame, key: bytes, columns: tuple[str, ...], counts: tuple[str, ...]) -> DataFrame:
     picked = docs.select(*dict.fromkeys((*columns, "text")))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields]
 
     def of(batches):
         surrogates, known = Surrogates(key), {}
         for pdf in batches:
             done = [replace(t if isinstance(t, str) else None, surrogates, known) for t in pdf["text"]]
-            yield pdf.assign(**{c: pd.Series([d[k] for d in done], index=pdf.index, dtype=kind) for k, (c, kind) in enumerate((("text", "object"), ("n_entities", "int64"), ("n_distinct", "int64"), ("n_surrogates", "int64")))})
+            pdf["text"] = pd.Series([d[0] for d in done], index=pdf.index, dtype="object")
+            for k, name in enumerate(counts, 1):
+                pdf[name] = np.array([d[k] for d in done], dtype=np.int64)
+            yield pdf
 
-    return picked.mapInPandas(of, f"{fields}, n_entities long, n_distinct long, n_surrogates long")
+    return picked.mapInPandas(of, ", ".join([*fields, *(f"{c} long" for c in counts)]))
 
 
 def anonymise_documents(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     """``docs`` with surrogates in ``text`` and, where there is such a column, n_chars of the new text."""
-    out = anonymise(docs, key, tuple(docs.columns)).drop("n_entities", "n_distinct", "n_surrogates")
+    out = _replaced(docs, key, tuple(docs.columns), ())
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*docs.columns)

@@ -150,10 +150,9 @@ def words(text: str | None, channel: Channel, known: dict[str, str]) -> set[str]
             continue
         if len(lone) >= 3:
             tail = _EDGE.sub("", t)
-            joined = "".join(lone)
-            found.add(channel.decode(joined) if any(map(str.isalpha, joined)) else joined)
-            if len(tail) == 1:
-                found.add(channel.decode(joined + tail))
+            joined = "".join(lone) + (tail if len(tail) == 1 else "")
+            # a word of one letter may stand before or after
+            found |= {channel.decode(x) for x in (joined, joined[1:], joined[:-1]) if any(map(str.isalpha, x))}
         lone = []
     found.discard("")
     return found
@@ -237,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, channel: Channel, max_labelled: in
 
 
 def scored(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """``columns`` of ``docs`` with ``score``."""
+    """``columns`` of ``docs`` with ``__score``, a name that tables don't use."""
     channel = Channel(character_counts(docs))
     weights, forest = train(docs, labels, channel)
 
@@ -246,11 +245,11 @@ def scored(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...]) -> Data
         known: dict[str, float] = {}
         for pdf in batches:
             x = np.array([summary(words(t, channel, cache), weights, known) for t in pdf["text"]], dtype=np.float64).reshape(len(pdf), 5)
-            yield pdf[list(columns)].assign(score=forest.predict(x))
+            yield pdf[list(columns)].assign(__score=forest.predict(x))
 
     picked = docs.select(*dict.fromkeys((*columns, "text")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields if f.name in columns)
-    return picked.mapInPandas(score, f"{fields}, score double")
+    return picked.mapInPandas(score, f"{fields}, __score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -260,10 +259,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     table gives no rows, other columns are ignored. Without any usable label
     every score is 0.5.
     """
-    out = scored(docs, labels, ("doc_id",))
+    out = scored(docs, labels, ("doc_id",)).withColumnRenamed("__score", "score")
     return out.select("doc_id", held_out(F.col("doc_id"), MODULUS, REST).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those predicted toxic; columns and repeated rows stay."""
-    return scored(docs, labels, tuple(docs.columns)).where(F.col("score") < THRESHOLD).drop("score")
+    return scored(docs, labels, tuple(docs.columns)).where(F.col("__score") < THRESHOLD).drop("__score")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ def _bigrams(text: str) -> list[str]:
 def sizes(bigrams: int, similarity: float = SIMILARITY) -> range:
     """Numbers of bigrams that a unit may have for the coefficient to reach ``similarity``."""
     least, most = similarity / (2 - similarity) * bigrams, (2 - similarity) / similarity * bigrams
-    return range(max(1, int(-(-least // 1))), int(most) + 1)
+    return range(max(1, ceil(least - 1e-9)), int(most + 1e-9) + 1)
 
 
 def templates(similarity: float = SIMILARITY) -> list[tuple[int, str, list[str]]]:
@@ -65,9 +66,27 @@ def templates(similarity: float = SIMILARITY) -> list[tuple[int, str, list[str]]
     return [(m, name, b) for name, texts in TEMPLATES.items() for b in map(_bigrams, texts) for m in sizes(len(b), similarity)]
 
 
-def _pieces(text: Column) -> Column:
-    """The whole text, its paragraphs, lines and sentences, normalised."""
-    flat = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n.!?]+", " ")
+def marks(similarity: float = SIMILARITY) -> list[str]:
+    """Words of which a unit must have one to be ``similarity`` like any template.
+
+    Such a unit has at least similarity / (2 - similarity) of a template's
+    bigrams. Long words are taken until the bigrams with one of them are more
+    than those that may be missing.
+    """
+    found = set()
+    for texts in TEMPLATES.values():
+        for grams in map(_bigrams, texts):
+            missing, left = int((1 - similarity / (2 - similarity)) * len(grams) + 1e-9), list(grams)
+            words = sorted({w for g in grams for w in g.split()}, key=lambda w: (w not in found, -len(w), w))
+            while len(grams) - len(left) <= missing:
+                found.add(words[0])
+                left = [g for g in left if words[0] not in g.split()]
+                words.pop(0)
+    return sorted(found)
+
+
+def _pieces(flat: Column) -> Column:
+    """A normalised text, its paragraphs, lines and sentences."""
     cuts = [F.split(flat, p) for p in (r"\n ?\n", r"\n", r"\n|[.!?]+ ")]
     return F.array_distinct(F.concat(F.array(flat), *cuts))
 
@@ -80,14 +99,24 @@ def scan(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     it is most like (of equal ones the last by name). Only templates whose
     number of bigrams admits the similarity meet a unit: the size bounds are
     the key of the join with the template table, which is fixed and small.
+    Texts and units without any of the words that a match must have are left out
+    before.
     Null, empty and one-word texts match nothing; equal rows, and rows with one
     doc_id, count as one document; an empty table gives no rows.
     """
     spark: SparkSession = docs.sparkSession
     fixed = F.broadcast(spark.createDataFrame(templates(similarity), "m int, licence string, template array<string>"))
-    units = docs.select("doc_id", F.explode(_pieces(F.col("text"))).alias("unit"))
-    words = F.filter(F.split(F.regexp_replace("unit", r"[.!?]", ""), r"[ \n]+"), lambda w: w != "")
-    units = units.select("doc_id", F.md5(F.col("unit").cast("binary")).alias("unit"), words.alias("w")).where(F.size("w").between(2, 2 + 2 * max(m for m, _, _ in templates(similarity))))
+    marked = F.array(*map(F.lit, marks(similarity)))
+    # first whole texts by their words, so that few are cut into units
+    some = docs.where(F.arrays_overlap(F.split(F.translate(F.lower("text"), ".!?", ""), r"[^\p{L}\p{N}]+"), marked))
+    flat = some.select("doc_id", F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n.!?]+", " ").alias("flat"))
+    units = flat.select("doc_id", F.explode(_pieces(F.col("flat"))).alias("unit")).select("doc_id", F.regexp_replace("unit", r"[.!?]", "").alias("bare"), "unit")
+    # a unit that may match has so many words; the others aren't split
+    most = 2 + 2 * max(m for m, _, _ in templates(similarity))
+    units = units.where(F.regexp_count("bare", F.lit(r"[ \n]+")).between(1, most + 1))
+    words = F.filter(F.split("bare", r"[ \n]+"), lambda w: w != "")
+    units = units.select("doc_id", "unit", words.alias("w")).where(F.size("w").between(2, most) & F.arrays_overlap("w", marked))
+    units = units.select("doc_id", F.md5(F.col("unit").cast("binary")).alias("unit"), "w")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1))))
     units = units.select("doc_id", "unit", grams.alias("grams")).withColumn("m", F.size("grams"))
     dice = 2 * F.size(F.array_intersect("grams", "template")) / (F.col("m") + F.size("template"))

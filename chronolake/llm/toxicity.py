@@ -181,7 +181,7 @@ def summary(found: set[str], weights: dict[str, float], known: dict[str, float])
 def _weigh(t: np.ndarray, n: np.ndarray, toxic: int, rows: int) -> np.ndarray:
     """Lower bounds of the log-odds of features in ``n`` of ``rows`` documents, ``t`` of them toxic."""
     odds = np.log((t + 0.5) / (toxic + 1)) - np.log((n - t + 0.5) / (rows - toxic + 1))
-    return np.where(t >= 2, odds - 1 / np.sqrt(t + 0.5), 0.0)
+    return np.where(t >= 2, odds - 2 / np.sqrt(t + 0.5), 0.0)
 
 
 def train(docs: DataFrame, labels: DataFrame, channel: Channel, max_labelled: int = MAX_LABELLED) -> tuple[dict[str, float], Forest]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import BYTE, VOID, repeated
-from .common import fence
+from .common import fence, stored
 
 LENGTH = 400
 #: Length of the strings whose hashes choose anchors; every LENGTH bytes hold SPAN of them.
@@ -229,15 +229,16 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     4. What is left goes to merged Burrows-Wheeler transforms, with each core as
        one symbol.
     """
-    found = fence(_anchor_rows(docs))
+    found = stored(_anchor_rows(docs))
     seen = found.groupBy("h").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("several")).where("n >= 2").select("h", "several")
-    kept = fence(found.join(seen, "h"))
+    # cut off, so that both sides of the join are dealt anew and a very common anchor can be split
+    kept = stored(found.join(fence(seen), "h").drop("c"))
     same = kept.where("NOT several").select(*KEY, "first", "last")
     runs = kept.where("several").select(*KEY, F.struct("h", "place", "first", "last").alias("run"))
-    tasks = fence(runs.groupBy(*KEY).agg(F.collect_set("run").alias("runs"), F.count("*").alias("rows")))
-    texts = docs.select(*KEY, "text").join(tasks.select(*KEY, "runs"), list(KEY))
+    tasks = fence(runs.groupBy(*KEY).agg(F.collect_set("run").alias("runs")))
+    texts = docs.select(*KEY, "text").join(tasks, list(KEY))
     pieces = _piece_rows(texts).withColumn("c2", F.xxhash64("low", "high", "left", "right"))
-    pieces = fence(pieces)
+    pieces = stored(pieces)
     masks = fence(_masks(pieces))
     hit = pieces.join(masks, ["key", "c2"]).select(*KEY, "start", "mask").distinct()
     bits = hit.select(*KEY, "start", F.explode(F.expr("filter(sequence(0, 31), i -> getbit(mask, i) = 1 AND (i = 0 OR getbit(mask, i - 1) = 0))")).alias("at"), "mask")

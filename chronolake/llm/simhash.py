@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import fence
 from .components import connected_components
+from .nearcopies import near_copies
 
 RADIUS = 2
 SHINGLE_WORDS = 3
@@ -105,16 +106,18 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: the one with the smallest id.
+    """``docs`` with one document of each group of near copies: the one with the smallest id.
 
-    A null id sorts last; of repeated rows with one id the one with the smallest
-    text digest stays, and of equal rows one. All columns are kept.
+    Near copies are texts whose sets of five-word shingles have a Jaccard
+    similarity of 0.8 or more, all pairs of them, each checked on the whole
+    sets, not on fingerprints; a group is what such pairs connect. A null id
+    sorts last; of repeated rows with one id the one with the smallest text
+    digest stays, and of equal rows one. All columns are kept.
     """
     spare = [n for n in ("__id", "__text", "__row")]
     marked = docs.withColumns({spare[0]: F.col("doc_id"), spare[1]: F.xxhash64("text")})
-    fps = fence(fingerprints(marked, ("doc_id", spare[1])).distinct())
-    groups = near_duplicates(fps)
-    best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", spare[1])).alias("best"))
+    groups = near_copies(marked, ("doc_id", spare[1]))
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", spare[1])).alias("best"))
     best = best.select(F.col("best.doc_id").alias(spare[0]), F.col(f"best.{spare[1]}").alias("__t"))
     marked = marked.join(best, marked[spare[0]].eqNullSafe(best[spare[0]]) & (marked[spare[1]] == best["__t"]), "left_semi")
     first = Window.partitionBy(*spare[:2]).orderBy(F.lit(1))

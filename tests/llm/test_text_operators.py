@@ -90,6 +90,23 @@ def test_simhash_components(spark, awkward, empty):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 7, 9, 10]
 
 
+def test_keep_one_against_all_pairs(spark):
+    texts = []
+    for k in range(12):
+        words = prose(700 + k, 80 + 20 * k).split()
+        for changed in (0, 1, 2, 3, 5, 9):
+            texts.append(" ".join("changed" if i and i % (len(words) // (changed + 1)) == 0 and changed else w for i, w in enumerate(words)))
+    texts += ["", None, "few words", "Few  WORDS", "one two three four five", "one two three four six"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent = [min(parent[i], parent[j]) if p in (parent[i], parent[j]) else p for p in parent]
+    got = {r["doc_id"] for r in simhash.keep_one(documents(spark, texts)).collect()}
+    assert got == {i for i, p in enumerate(parent) if i == p} and 20 < len(got) < 60
+
+
 # Decontamination
 
 

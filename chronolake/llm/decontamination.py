@@ -14,8 +14,6 @@ RADIUS = 20
 #: Bit ranges (start, length) of the blocks. Of 20 differing bits some block of seven has at most two.
 BLOCKS = tuple((9 * i, 9 if i < 6 else 10) for i in range(7))
 BALL = RADIUS // len(BLOCKS)
-#: Windows also start this many words before and after where a shared shingle would put them.
-SLACK = 2
 KEY = ("t1", "t2")
 
 
@@ -96,14 +94,36 @@ def _positions(h: Column, lengths: list[int]) -> Column:
     return F.concat(*parts)
 
 
+def _starts(p: Column, n: Column, size: Column) -> Column:
+    """Where the windows start that may be SIMILARITY like an item of ``n`` words, in a text of ``size`` with shared shingles at ``p``.
+
+    Such a window shares at least SIMILARITY / (1 + SIMILARITY) = 4/9 of the sum
+    of both numbers of shingles. With k the least such number, it holds some k
+    shared shingles in a row; a start counts for the first such row only.
+    """
+    width = F.least(n, size)
+    own, whole = (F.greatest(x - (SHINGLE_WORDS - 1), F.lit(1)) for x in (width, n))
+    k = F.ceil(4 * (own + whole) / 9).cast("int")
+    last = size - width
+
+    def of(i):
+        after = F.when(i > 0, F.get(p, i - 1) + 1).otherwise(F.lit(0))
+        low, high = F.greatest(F.get(p, i + k - 1) - own + 1, after, F.lit(0)), F.least(F.get(p, i), last)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    rows = F.when(F.size(p) >= k, F.sequence(F.lit(0), F.size(p) - k)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(rows, of))
+
+
 def matches(docs: DataFrame, bench: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, t1, t2) of documents to look at, and the best match of each of their texts with an item.
 
     1. A window at least SIMILARITY like an item shares shingles with it. Texts
        that share none with any item are left out, by a join with the items'
        shingles; this loses nothing.
-    2. In the others each shared shingle puts windows of the item's size; equal
-       windows are worked on once.
+    2. In the others all windows of an item's size are taken, up to the edges of
+       the text, in which enough shingles are shared; a text shorter than the
+       item is one window. This loses nothing. Equal windows are worked on once.
     3. A window's fingerprint meets the items of its size in one of seven
        blocks, each looked up in the Hamming ball around the item's block: every
        pair within RADIUS bits is found.
@@ -111,7 +131,7 @@ def matches(docs: DataFrame, bench: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     table = items(bench)
     lengths = sorted(r[0] for r in table.select(F.least("n", F.lit(SHINGLE_WORDS))).distinct().collect()) or [SHINGLE_WORDS]
-    places = table.select("n", F.posexplode("sh").alias("q", "sh")).distinct()
+    places = table.select("n", F.explode("sh").alias("sh")).distinct()
     known = small(places.select("sh").distinct())
     hashed = docs.select("doc_id", *_text_key(), _words(F.col("text")).alias("h"))  # a step of its own: the lambdas below read h again and again
     keyed = hashed.select("doc_id", *KEY, F.explode(F.concat(*(_shingles(F.col("h"), n) for n in lengths))).alias("sh"))
@@ -120,8 +140,8 @@ def matches(docs: DataFrame, bench: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = fence(texts.groupBy(*KEY).agg(F.first("text").alias("text")).select(*KEY, _words(F.col("text")).alias("h")))
 
     found = texts.select(*KEY, F.size("h").alias("size"), F.explode(_positions(F.col("h"), lengths)).alias("x")).select(*KEY, "size", "x.sh", "x.p")
-    starts = found.join(small(places), "sh").select(*KEY, "n", "size", F.explode(F.sequence(F.col("p") - F.col("q") - SLACK, F.col("p") - F.col("q") + SLACK)).alias("s"))
-    starts = starts.where("s >= 0 AND s + n <= size").select(*KEY, "n", "s").distinct()
+    shared = found.join(small(places), "sh").groupBy(*KEY, "size", "n").agg(F.array_sort(F.collect_set("p")).alias("p"))
+    starts = shared.select(*KEY, "n", F.explode(_starts(F.col("p"), F.col("n"), F.col("size"))).alias("s"))
     starts = starts.groupBy(*KEY).agg(F.collect_list(F.struct("n", "s")).alias("at"))
     cut = F.transform("at", lambda w: F.struct(w["n"].alias("n"), w["s"].alias("s"), F.slice("h", w["s"] + 1, w["n"]).alias("h")))
     windows = fence(texts.join(starts, list(KEY)).select(*KEY, F.explode(cut).alias("w")).select(*KEY, "w.n", "w.s", "w.h"))
@@ -133,7 +153,7 @@ def matches(docs: DataFrame, bench: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = probes.join(balls, ["n", "k"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     alike = pairs.withColumn("similarity", _similarity(F.col("sh"), F.col("item_sh"))).where(F.col("similarity") >= SIMILARITY)
     alike = alike.groupBy("n", "h", "item_id").agg(F.max("similarity").alias("similarity"))
-    best = windows.join(alike, ["n", "h"]).groupBy(*KEY, "item_id").agg(F.max(F.struct("similarity", (-F.col("s")).alias("s"), "n")).alias("b"))
+    best = windows.join(alike, ["n", "h"]).groupBy(*KEY, "item_id").agg(F.max(F.struct("similarity", (-F.col("s")).alias("s"), F.size("h").alias("n"))).alias("b"))
     return hit, best.select(*KEY, "item_id", "b.similarity", (-F.col("b.s")).alias("start"), F.col("b.n").alias("n_words"))
 
 

@@ -146,6 +146,31 @@ def test_decontamination_against_all_windows(spark, awkward, empty):
     assert {x["doc_id"] for x in left.collect()} == set(range(len(texts))) - {d for d, _ in want} and left.columns == awkward.columns
 
 
+def test_decontamination_at_edges(spark):
+    items = [prose(400 + k, 45 + 5 * k) for k in range(4)] + ["five words are one shingle"]
+    texts = []
+    for k, item in enumerate(items[:4]):
+        w = item.split()
+        for cut in range(6):
+            head, tail = " ".join(w[cut:]), " ".join(w[: len(w) - cut])
+            texts += [head, tail, f"{head} {prose(500 + k, 70)}", f"{prose(510 + k, 70)} {tail}", f"{prose(520 + k, 40)} {head} {prose(530 + k, 40)}"]
+        texts += [" ".join(w[:20] + w[20 + k + 1 :]), " ".join(w[25:] + w[:25]), f"{prose(540 + k, 30)} {' '.join(w[25:] + w[:25])} {prose(550 + k, 30)}"]
+        texts += [" ".join([prose(560 + k, 30), *w[2:20], "x y z x", *w[20:-2], prose(570 + k, 30)])]
+    texts += ["five words are one shingle", "words are one shingle", "four words are one"]
+    want = {}
+    for d, text in enumerate(texts):
+        words = text.split()
+        for i, item in enumerate(items):
+            q = item.split()
+            n = min(len(q), len(words))
+            best, start = max((weighted(words[s : s + n], q), -s) for s in range(len(words) - n + 1))
+            if best >= 0.8:
+                want[d, i] = (round(best, 6), -start, n)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): (x["similarity"], x["start"], x["n_words"]) for x in decontamination.contaminated(documents(spark, texts), bench).collect()}
+    assert got == want and len(want) > 90
+
+
 # Mixing
 
 

@@ -107,6 +107,12 @@ def test_keep_one_against_all_pairs(spark):
     assert got == {i for i, p in enumerate(parent) if i == p} and 20 < len(got) < 60
 
 
+def test_common_filler_does_not_drop_clean_documents(spark):
+    texts = [f"{'filler ' * 120}{prose(800 + k, 60)} {'filler ' * 30}" for k in range(6)] + ["filler " * 50, "filler " * 80]
+    assert len({simhash.fingerprint(t) for t in texts}) == 1
+    assert sorted(r["doc_id"] for r in simhash.keep_one(documents(spark, texts)).collect()) == [*range(7)]
+
+
 # Decontamination
 
 

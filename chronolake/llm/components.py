@@ -11,7 +11,7 @@ from .common import fence
 def _large_star(edges: DataFrame) -> DataFrame:
     """Join every larger neighbour of a node to the smallest node around it."""
     both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    least = fence(both.groupBy("u").agg(F.min("v").alias("m")))
     return (
         both.where("v > u")
         .join(least, "u")
@@ -22,7 +22,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Join a node and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
+    least = fence(edges.groupBy("hi").agg(F.min("lo").alias("m")))
     moved = edges.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return least.select("hi", F.col("m").alias("lo")).unionByName(moved).distinct()
 
@@ -32,10 +32,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     ``root`` is the smallest node reachable, so root < node; roots themselves
     and unlinked nodes have no row. Null ends and self-links are dropped,
-    repeated links count once. Every step is a partial aggregation or a join on
-    aggregated rows, so a node with very many links is combined before it is
-    shuffled. Lineage is cut by a checkpoint in each round; only two numbers a
-    round reach the driver.
+    repeated links count once. Every step is a partial aggregation, or a join of
+    rows that are dealt anew on both sides, so that adaptive execution can split
+    a node with very many links. Lineage is cut by checkpoints in each round;
+    only two numbers a round reach the driver.
     """
     edges = (
         links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
@@ -48,4 +48,4 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if mark["n"] == 0 or mark == before:
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         before = mark
-        edges = fence(_small_star(_large_star(edges)))
+        edges = fence(_small_star(fence(_large_star(edges))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fence, small
+from .common import fence, small, spare
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -149,8 +149,10 @@ def matches(docs: DataFrame, bench: DataFrame) -> tuple[DataFrame, DataFrame]:
     distinct = windows.select("n", "h").distinct().withColumn("sh", _own_shingles(F.col("h"))).withColumn("fp", _fingerprint(F.col("sh")))
     blocks = F.array(*(F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("value")) for b in range(len(BLOCKS))))
     probes = distinct.select("n", "h", "sh", "fp", F.explode(blocks).alias("k"))
-    balls = small(table.select("item_id", "n", F.col("sh").alias("item_sh"), F.col("fp").alias("item_fp"), F.explode(_balls()).alias("k")))
+    # numbers alone, so that a long item doesn't weigh more than a short one; its shingles follow for the pairs that are left
+    balls = small(table.select("item_id", "n", F.col("fp").alias("item_fp"), F.explode(_balls()).alias("k")))
     pairs = probes.join(balls, ["n", "k"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    pairs = pairs.join(small(table.select("item_id", "n", F.col("fp").alias("item_fp"), F.col("sh").alias("item_sh")).distinct()), ["item_id", "n", "item_fp"])
     alike = pairs.withColumn("similarity", _similarity(F.col("sh"), F.col("item_sh"))).where(F.col("similarity") >= SIMILARITY)
     alike = alike.groupBy("n", "h", "item_id").agg(F.max("similarity").alias("similarity"))
     best = windows.join(alike, ["n", "h"]).groupBy(*KEY, "item_id").agg(F.max(F.struct("similarity", (-F.col("s")).alias("s"), F.size("h").alias("n"))).alias("b"))
@@ -161,18 +163,18 @@ def contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """Matches of documents with benchmark items: doc_id, item_id, similarity, start (a word's number), n_words.
 
     One row per document and item, the most similar window and of equal ones the
-    first. Null and blank texts match nothing, nor do such items; rows that are
-    equal in doc_id and text count once; empty tables give no rows; other
-    columns are ignored.
+    first. Null and blank texts match nothing, nor do such items; very long
+    texts are read whole; rows that are equal in doc_id and text count once;
+    empty tables give no rows; other columns are ignored.
     """
     hit, best = matches(docs, bench)
     return hit.join(best, list(KEY)).select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start", "n_words")
 
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a benchmark item; columns and repeated rows stay."""
+    """``docs`` without those that hold a benchmark item; columns, whatever their names, null texts and repeated rows stay."""
     _, best = matches(docs, bench)
-    names = {"t1": "__t1", "t2": "__t2"}
-    marked = docs.withColumns(dict(zip(names.values(), _text_key(), strict=True)))
-    bad = small(best.select(*(F.col(k).alias(v) for k, v in names.items())).distinct())
-    return marked.join(bad, list(names.values()), "left_anti").drop(*names.values())
+    names = spare(docs.columns, *KEY)
+    marked = docs.withColumns(dict(zip(names, _text_key(), strict=True)))
+    bad = small(best.select(*(F.col(k).alias(v) for k, v in zip(KEY, names, strict=True))).distinct())
+    return marked.join(bad, names, "left_anti").drop(*names).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -57,7 +57,7 @@ def buckets(x: np.ndarray, seed: int = SEED) -> np.ndarray:
 
 
 def _spread(classes: DataFrame) -> DataFrame:
-    """A row for every class, table and bucket it is at home in or probes."""
+    """A row for every class, table and bucket it is at home in or probes. A table's number holds the vectors' length, as lengths don't meet."""
 
     def of(batches):
         for pdf in batches:
@@ -65,12 +65,12 @@ def _spread(classes: DataFrame) -> DataFrame:
                 for at in range(0, len(part), 2048):
                     some = part.iloc[at : at + 2048]
                     x = np.array(some["v"].tolist(), dtype=np.float64)
-                    b = buckets(x / np.linalg.norm(x, axis=1, keepdims=True)) * (1 << 10) + x.shape[1] % (1 << 10)
+                    b = buckets(x / np.linalg.norm(x, axis=1, keepdims=True))
                     yield some.assign(b=list(b.reshape(len(x), -1)))
 
     coded = classes.mapInPandas(of, "rep long, ck long, n long, v array<double>, b array<long>")
     return coded.select("rep", "ck", "n", "v", "b", F.posexplode("b").alias("i", "bucket")).select(
-        "rep", "ck", "n", "v", "b", F.expr(f"i div {1 + FUNCTIONS}").cast("int").alias("table"), "bucket"
+        "rep", "ck", "n", "v", "b", F.expr(f"size(v) * {TABLES} + i div {1 + FUNCTIONS}").cast("int").alias("table"), "bucket"
     )
 
 
@@ -93,6 +93,7 @@ def _verify(group: pd.DataFrame, table: int, bucket: int, p: int, q: int, cosine
     x = np.array(group["v"].tolist(), dtype=np.float64)
     norm = np.sqrt((x * x).sum(axis=1))
     codes = np.array(group["b"].tolist(), dtype=np.int64).reshape(len(x), TABLES, 1 + FUNCTIONS)
+    table %= TABLES
     home = codes[:, table, 0] == bucket
     rep, n, block = group["rep"].to_numpy(), group["n"].to_numpy(), group["block"].to_numpy()
     links, parent = np.zeros(len(x), dtype=np.int64), list(range(len(x)))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, fence
 
-#: Ranges of the sampling key; only rows of one range are ordered together.
-KEY_RANGES = 1024
+#: Ranges of the sampling key for each unit of it; only rows of one range are ordered together. With weights of at most 1 a range holds at most one row in so many of a source.
+KEY_RANGES = 16_384
+#: Weight of a document of quality zero.
+LEAST_WEIGHT = 1e-3
 
 
 def quality_weight(text: Column) -> Column:
@@ -48,7 +50,7 @@ def _targets(sizes: DataFrame, weights: tuple, share: float, most: float) -> Dat
     return ranked.select("no_source", "src", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0, quality: str | None = None) -> DataFrame:
     """Decide how many words of each document a mix takes.
 
     Sources in code point order (null last) get ``weights`` in turn and divide
@@ -56,11 +58,14 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: f
     words and the excess goes to the others. Of each source, complete epochs
     come first; the rest is filled by documents in the order of their
     Efraimidis-Spirakis keys, and the last one is cut so that the target is met
-    to within one word.
+    to within one word. ``quality`` names a column of document weights in (0, 1],
+    such as the scores of the quality classifier (null or out of range: the
+    nearest bound); without it quality_weight of the text is taken.
 
     Result: doc_id, size, source_size, target, taken. A null text has size 0, an
     empty table gives no rows, equal rows are kept apart and share a key (ties
-    go to the smaller size), other columns are ignored. Keys come from ids, so
+    go to the smaller size), very long texts count whole, other columns are
+    ignored. Keys come from ids, so
     reruns agree.
 
     Rows of a source are split over ranges of the key: sums of a range are
@@ -68,14 +73,15 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: f
     source, and rows are ordered within a range. No source meets in one task.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    weight = quality_weight(F.col("text")) if quality is None else F.coalesce(F.greatest(F.least(F.col(f"`{quality}`").cast("double"), F.lit(1.0)), F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT))
     base = docs.select(
         "doc_id",
         F.col("source").isNull().alias("no_source"),
         F.coalesce("source", F.lit("")).alias("src"),
         size.alias("size"),
-        sampling_key(F.col("doc_id"), quality_weight(F.col("text"))).alias("key"),
+        sampling_key(F.col("doc_id"), weight).alias("key"),
     )
-    base = fence(base.withColumn("part", F.floor(KEY_RANGES * (1 - F.exp(-F.col("key")))).cast("int")))
+    base = fence(base.withColumn("part", F.floor(KEY_RANGES * F.col("key"))))
     own = ["no_source", "src"]
     parts = fence(base.groupBy(*own, "part").agg(F.sum("size").alias("part_size")))
     targets = _targets(parts.groupBy(*own).agg(F.sum("part_size").alias("source_size")), weights, share, most)

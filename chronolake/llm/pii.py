@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from itertools import pairwise
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import per_text
+
 #: Used where a caller passes no key of its own; surrogates can be undone by whoever knows the key.
 DEFAULT_KEY = b"replace this key in production"
 
@@ -24,6 +27,18 @@ GIVEN = {
 }
 #: Titles that a surname follows.
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Mme Monsieur Madame Señor Señora Sr Sra".split()
+#: Words before and after a full name, by which a name without a known given name or title is told.
+BEFORE = "dear contact name named signed author attn met called told asked regards sincerely cc".split()
+BEFORE_TO = "wrote write writes spoke talked sent letter reply".split()
+AFTER = "met said says wrote writes called asked told lives lived works worked born signed replied".split()
+#: Capitalised words that aren't parts of names.
+NOT_NAMES = (
+    "The A An This That These Those In On At It He She We You They I And Or But If When New North South East West United Great Saint San Los Las "
+    "January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday "
+    "University Institute College School Street Avenue Road City State States Kingdom Republic Company Inc Ltd Corp Foundation Software License Licence Public General Creative Commons Project Version"
+).split()
+#: International calling codes of one and two digits; all others have three.
+CODES1, CODES2 = ("1", "7"), ("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98").split()
 #: Letters that stand for one another, by script.
 VOWELS = ("aeiou", "áàâäãéèêëíìîïóòôöõúùûü", "аеиоуыэюя", "αεηιουω", "άέήίόύώ")
 CONSONANTS = ("bcdfghjklmnpqrstvwxyz", "çñß", "бвгджзклмнпрстфхцчшщ", "βγδζθκλμνξπρστφχψ")
@@ -39,11 +54,23 @@ PATTERNS = {
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "card": re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"),
-    "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w.])\+\d{8,15}(?!\w)"),
+    "phone": re.compile(
+        r"(?<![\w.])\+\d{1,3}(?:[ ./-]?(?:\(\d{1,4}\)|\d{1,4})){2,6}(?!\w)"  # any grouping after a +
+        r"|(?<![\w.])\+\d{8,15}(?!\w)"
+        r"|(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)"
+        r"|(?<![\w.,/-])0\d(?: \d\d){4}(?! ?\w|[.,/-]\d)"  # pairs
+        r"|(?<![\w.,/-])0\d{1,4}/\d{3,4}[ -]?\d{3,5}(?!\w|[.,/-]\d)"  # an area code before a slash
+        r"|(?<=\w[ :.])(?<![\w.])\d{8,15}(?!\w)"  # bare digits, if a word for a telephone stands before them
+    ),
 }
+_BARE = re.compile(r"\d{8,15}")
+_TELEPHONE = re.compile(r"(?i:\b(?:tel|tele?phone|phone|call|mobile|cell|fax|whatsapp|text|ring)\w*)(?:\.|:| at| on| no\.?| number)*[ :.]$")
 _TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.? (?=({_CAPITAL})(?!\w))")
 _NEXT = re.compile(rf" ({_CAPITAL})(?!\w)")
 _WORD = re.compile(rf"(?<!\w){_CAPITAL}(?!\w)")
+_FULL = re.compile(rf"(?<![\w@.-])({_CAPITAL}) (?:[A-Z]\. )?({_CAPITAL})(?![\w@])")
+_LAST = re.compile(r"([^\W\d_]+)(?:( to)|( by)|:|,)? ?$")
+_FIRST = re.compile(r",? ([^\W\d_]+)")
 
 
 class Surrogates:
@@ -70,7 +97,7 @@ class Surrogates:
             for v, r in zip(values[part], radices[part], strict=True):
                 number, size = number * r + v, size * r
             sides.append([number, size])
-        (a, m), (b, n) = sides
+        (a, m), (b, n) = sides  # a part without letters has one value
         for k in range(0, 8, 2):
             a = (a + self._mask(tag, k, b, m)) % m
             b = (b + self._mask(tag, k + 1, a, n)) % n
@@ -111,12 +138,19 @@ class Surrogates:
         return new
 
     def iban(self, text: str) -> str:
+        """Numbers with valid check digits map to such ones; others keep their distance from the right ones, so that none meet."""
         bare = text.replace(" ", "")
+        right = lambda body: 98 - mod97(f"{body}{bare[:2]}00")
         body = self.letters(bare[4:], f"iban|{bare[:2]}")
-        check = f"{98 - mod97(body + bare[:2] + '00'):02d}" if mod97(bare[4:] + bare[:4]) == 1 else self.digits(bare[2:4], "iban|check")
-        new = iter(bare[:2] + check + body)
+        new = iter(f"{bare[:2]}{(int(bare[2:4]) - right(bare[4:]) + right(body)) % 100:02d}{body}")
         return "".join(ch if ch == " " else next(new) for ch in text)
 
+    def phone(self, text: str) -> str:
+        """An international number keeps its country; the grouping stays and doesn't matter."""
+        digits = "".join(ch for ch in text if ch.isdigit())
+        keep = 0 if text[0] != "+" else 1 if digits[0] in CODES1 else 2 if digits[:2] in CODES2 else 3
+        return self.digits(text, f"phone{text[0] == '+'}", keep)
+
     def given(self, name: str) -> str:
         """Another given name of the same script and gender."""
         names = GIVEN[_GENDER[name]]
@@ -134,11 +168,10 @@ class Surrogates:
         if kind == "card":
             return self.card(text)
         if kind == "phone":
-            country = re.match(r"\+(\d{1,3})[ .-]", text)
-            return self.digits(text, "phone", len(country[1]) if country else 0)
+            return self.phone(text)
         if kind == "given":
             return self.given(text)
-        return self.letters(text, kind) if kind == "surname" else self.digits(text, kind)
+        return self.letters(text, kind) if kind in ("forename", "surname") else self.digits(text, kind)
 
 
 def luhn(text: str) -> bool:
@@ -150,37 +183,90 @@ def mod97(text: str) -> int:
     return int("".join(str(int(ch, 36)) for ch in text)) % 97
 
 
-def entities(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of what is found, in order, without overlaps.
-
-    Names are a known given name with or without a surname, or a title and a
-    surname; other mentions of a surname that was found count too.
+def canonical(kind: str, value: str) -> str:
+    """The form in which two mentions of one entity are equal."""
+    if kind == "email":
+        return value.lower()
+    if kind in ("card", "ssn"):
+        return re.sub(r"\D", "", value)
+    if kind == "phone":
+        return ("+" if value[0] == "+" else "") + re.sub(r"\D", "", value)
+    return value.replace(" ", "") if kind == "iban" else value
+
+
+def _is(kind: str, text: str, m: re.Match) -> bool:
+    """What a pattern can't tell of a match."""
+    if kind != "phone":
+        return True
+    if not 7 <= sum(map(str.isdigit, m[0])) <= 15:
+        return False
+    return not _BARE.fullmatch(m[0]) or bool(_TELEPHONE.search(text[max(0, m.start() - 32) : m.start()]))
+
+
+def _claim(taken: list[tuple[int, int, str]], text: str, kind: str, pattern: re.Pattern) -> list[tuple[int, int, str]]:
+    """``taken``, in order and without overlaps, with the matches of a pattern that are clear of it; after one that isn't the search goes on."""
+    starts, more, at = [s for s, _, _ in taken], [], 0
+    while m := pattern.search(text, at):
+        s, e = m.span()
+        k = bisect_right(starts, s)
+        met = taken[k - 1] if k and taken[k - 1][1] > s else taken[k] if k < len(taken) and taken[k][0] < e else None
+        if met:
+            at = max(met[1], s + 1)
+        elif _is(kind, text, m):
+            more.append((s, e, kind))
+            at = e
+        else:
+            at = s + 1
+    return sorted([*taken, *more]) if more else taken
+
+
+def names(text: str) -> list[tuple[int, int, str]]:
+    """Names: a known given name with or without a surname, a title and a surname, and two capitalised words beside a word of BEFORE or AFTER.
+
+    Other mentions of a given name or surname that was found count too. Names in
+    scripts without capitals, and single unknown names, aren't found.
     """
+    words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
+    if len(words) < 2 and not any(w in _GENDER for _, _, w in words):
+        return []
+    last = {m[1] for m in _TITLED.finditer(text)} - _GENDER.keys()
+    first: set[str] = set()
+    common: set[str] = set()  # words that the text also has in lower case are no names
+
+    def proper(word: str) -> bool:
+        if word in NOT_NAMES or word in TITLES or word in _GENDER:
+            return False
+        if not common:
+            common.update(text.split())
+        return word.lower() not in common
+
+    for (s, e, a), (s2, _, b) in pairwise([*words, (len(text) + 9, 0, "")]):
+        if a in _GENDER and s2 == e + 1 and text[e] == " " and proper(b):
+            last.add(b)
+        elif s2 - e in (1, 4) and len(a) > 2 and len(b) > 2 and (m := _FULL.match(text, s)) and m[2] == b:
+            before, after = _LAST.search(text[max(0, s - 20) : s]), _FIRST.match(text, m.end())
+            cue = before and before[1].lower() in (BEFORE_TO if before[2] or before[3] else BEFORE)
+            if (cue or (after and after[1] in AFTER)) and proper(a) and proper(b):
+                first.add(a)
+                last.add(b)
+    kind = lambda w: "given" if w in _GENDER else "surname" if w in last else "forename" if w in first else None
+    return [(s, e, k) for s, e, w in words if (k := kind(w))]
+
+
+def entities(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of what is found, in order, without overlaps; kinds claim text in the order of PATTERNS, names come last."""
     found: list[tuple[int, int, str]] = []
     if any(map(text.__contains__, "0123456789")):
-        taken = bytearray(len(text)) if len(text) < 1 << 16 else None
         for kind, pattern in PATTERNS.items():
-            for m in pattern.finditer(text):
-                s, e = m.span()
-                if taken is not None:
-                    if any(taken[s:e]):
-                        continue
-                    taken[s:e] = b"\1" * (e - s)
-                elif any(s < y and x < e for x, y, _ in found):
-                    continue
-                found.append((s, e, kind))
+            found = _claim(found, text, kind, pattern)
     elif "@" in text:
-        found = [(*m.span(), "email") for m in PATTERNS["email"].finditer(text)]
-    if not _GENDER.keys().isdisjoint(words := set(_WORD.findall(text))) or not words.isdisjoint(TITLES):
-        names = {m[1] for m in _TITLED.finditer(text)} - _GENDER.keys()
-        for m in _WORD.finditer(text):
-            if m[0] in _GENDER:
-                found.append((*m.span(), "given"))
-                if (last := _NEXT.match(text, m.end())) and last[1] not in _GENDER:
-                    names.add(last[1])
-        found += [(*m.span(), "surname") for m in _WORD.finditer(text) if m[0] in names]
-    found.sort()
-    return [x for k, x in enumerate(found) if not k or x[0] >= max(y for _, y, _ in found[max(0, k - 8) : k])]
+        found = _claim(found, text, "email", PATTERNS["email"])
+    named = names(text)
+    if found:
+        starts = [s for s, _, _ in found]
+        clear = lambda s, e: (not (k := bisect_right(starts, s)) or found[k - 1][1] <= s) and (k >= len(found) or found[k][0] >= e)
+        named = [x for x in named if clear(x[0], x[1])]
+    return sorted([*found, *named])
 
 
 def replace(text: str | None, surrogates: Surrogates, known: dict) -> tuple[str | None, int, int, int]:
@@ -196,13 +282,15 @@ def replace(text: str | None, surrogates: Surrogates, known: dict) -> tuple[str
             new = surrogates.of(kind, value)
             if len(known) < 200_000:
                 known[kind, value] = new
-        plain = (lambda x: x.lower()) if kind == "email" else (lambda x: re.sub(r"\D", "", x)) if kind in ("card", "phone", "ssn") else (lambda x: x)
-        pairs.add((kind, plain(value), plain(new)))
+        pairs.add((kind, canonical(kind, value), canonical(kind, new)))
         out += [text[at:s], new]
         at = e
     return "".join([*out, text[at:]]), len(found), len({p[:2] for p in pairs}), len({(p[0], p[2]) for p in pairs})
 
 
+COUNTS = ("n_entities", "n_distinct", "n_surrogates")
+
+
 def anonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns`` with ``text`` in which entities are replaced, n_entities, n_distinct and n_surrogates.
 
@@ -211,48 +299,52 @@ def anonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, columns: tuple[str, ...
     separators. It is the entity's successor on a keyed cycle through all values
     of its kind and format, so two entities never share one and none keeps its
     own; the check counts both sides in each document (n_distinct =
-    n_surrogates), and no table of surrogates has to be gathered. Given names
-    stay in their script and gender, surnames in their script and pattern of
-    vowels; card numbers and IBANs keep valid check digits.
-
-    Null texts stay null, empty ones empty; repeated rows are treated alike; an
-    empty table gives no rows; a text without entities comes back unchanged.
+    n_surrogates), ``collisions`` over a table. Given names stay in their script
+    and gender, other names in their script and pattern of vowels; card numbers
+    and IBANs keep valid check digits.
+
+    Null texts stay null, empty ones empty; very long ones are read whole;
+    repeated rows are treated alike; an empty table gives no rows; a text without
+    entities comes back unchanged; columns of ``docs`` that aren't asked for,
+    whatever their names, are ignored.
     """
-    return _replaced(docs, key, columns, ("n_entities", "n_distinct", "n_surrogates"))
+    columns = tuple(c for c in columns if c != "text")
 
-
-def _replaced(docs: DataFrame, key: bytes, columns: tuple[str, ...], counts: tuple[str, ...]) -> DataFrame:
-    picked = docs.select(*dict.fromkeys((*columns, "text")))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields]
-
-    def of(batches):
+    def make():
         surrogates, known = Surrogates(key), {}
-        for pdf in batches:
-            done = [replace(t if isinstance(t, str) else None, surrogates, known) for t in pdf["text"]]
-            pdf["text"] = pd.Series([d[0] for d in done], index=pdf.index, dtype="object")
-            for k, name in enumerate(counts, 1):
-                pdf[name] = np.array([d[k] for d in done], dtype=np.int64)
-            yield pdf
+        return lambda texts: list(zip(*(replace(t, surrogates, known) for t in texts), strict=True)) or [[]] * 4
 
-    return picked.mapInPandas(of, ", ".join([*fields, *(f"{c} long" for c in counts)]))
+    return per_text(docs, columns, ", ".join(["text string", *(f"{c} long" for c in COUNTS)]), make)
 
 
 def anonymise_documents(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """``docs`` with surrogates in ``text`` and, where there is such a column, n_chars of the new text."""
-    out = _replaced(docs, key, tuple(docs.columns), ())
+    """``docs`` with surrogates in ``text`` and, where there is such a column, n_chars of the new text; all other columns stay as they are."""
+
+    def make():
+        surrogates, known = Surrogates(key), {}
+        return lambda texts: ([replace(t, surrogates, known)[0] for t in texts],)
+
+    out = per_text(docs, [c for c in docs.columns if c != "text"], "text string", make)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def collisions(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """Check over a whole table: surrogates that stand for more than one entity (kind, surrogate, n); none by construction."""
+    """Check over a whole table: (kind, surrogate, n, is_real) of surrogates that stand for several entities or equal one of the table.
+
+    n is the number of entities; over 1 it is a collision, of which there are
+    none by construction. A surrogate may be another entity's value (is_real):
+    given names always are, others by chance.
+    """
 
     def of(batches):
         surrogates = Surrogates(key)
         for pdf in batches:
-            rows = {(kind, t[s:e].lower()) for t in pdf["text"] if isinstance(t, str) for s, e, kind in entities(t)}
-            yield pd.DataFrame([(k, v, surrogates.of(k, v).lower()) for k, v in rows if k not in ("given", "surname", "iban")], columns=["kind", "value", "surrogate"])
+            rows = {(kind, t[s:e]) for t in pdf["text"] if isinstance(t, str) for s, e, kind in entities(t)}
+            yield pd.DataFrame([(k, canonical(k, v), canonical(k, surrogates.of(k, v))) for k, v in rows], columns=["kind", "value", "surrogate"])
 
-    each = docs.select("text").mapInPandas(of, "kind string, value string, surrogate string")
-    return each.groupBy("kind", "surrogate").agg(F.count_distinct("value").alias("n")).where("n > 1")
+    each = docs.select("text").mapInPandas(of, "kind string, value string, surrogate string").distinct()
+    real = each.select("kind", F.col("value").alias("surrogate")).distinct().withColumn("is_real", F.lit(True))
+    counted = each.groupBy("kind", "surrogate").agg(F.count_distinct("value").alias("n")).join(real, ["kind", "surrogate"], "left")
+    return counted.select("kind", "surrogate", "n", F.coalesce("is_real", F.lit(False)).alias("is_real")).where("n > 1 OR is_real")

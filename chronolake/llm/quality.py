@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, per_text
 from .gbt import Forest, fit
 
 #: The classifier is fitted on at most this many labelled rows, those with the smallest id hashes.
@@ -56,7 +56,7 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def _matrix(texts: pd.Series) -> np.ndarray:
+def _matrix(texts) -> np.ndarray:
     return np.array([statistics(t) for t in texts], dtype=np.float64).reshape(len(texts), len(NAMES))
 
 
@@ -70,7 +70,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
             yield pd.DataFrame({"y": pdf["quality"], "x": list(_matrix(pdf["text"]))})
 
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("quality", "text")
-    rows = texts.mapInPandas(of, "y int, x array<double>").toPandas()
+    # an id that many rows repeat doesn't bring more rows to the driver
+    rows = texts.mapInPandas(of, "y int, x array<double>").orderBy(F.xxhash64("x", "y"), "y").limit(max_labelled).toPandas()
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(len(rows), len(NAMES))
     order = np.lexsort((*x.T, rows["y"].to_numpy()))  # the same forest whatever order rows arrive in
     return fit(x[order], rows["y"].to_numpy(dtype=np.float64)[order])
@@ -79,16 +80,15 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score every whole text: doc_id, held_out, score (0 to 1), predicted (score >= 0.7).
 
-    Null texts score as empty ones, repeated rows are scored each, an empty
-    table gives no rows, other columns are ignored. Without any usable label
-    every score is 0.5.
+    Null texts score as empty ones, very long ones are read whole, repeated rows
+    are scored each, an empty table gives no rows, other columns are ignored.
+    Without any usable label every score is 0.5.
     """
-    forest = train(docs, labels)
+    scored = scores(docs, labels, ("doc_id",), "score")
+    return scored.select("doc_id", held_out(F.col("doc_id"), MODULUS, REST).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
-    def score(batches):
-        for pdf in batches:
-            yield pdf[["doc_id"]].assign(score=forest.predict(_matrix(pdf["text"])))
 
-    kind = dict(docs.dtypes)["doc_id"]
-    scored = docs.select("doc_id", "text").mapInPandas(score, f"doc_id {kind}, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id"), MODULUS, REST).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+def scores(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...], name: str) -> DataFrame:
+    """``columns`` of ``docs`` with the score of each text as ``name``."""
+    forest = train(docs, labels)
+    return per_text(docs, columns, f"`{name}` double", lambda: lambda texts: (forest.predict(_matrix(texts)),))

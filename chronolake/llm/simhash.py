@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fence
+from .common import fence, per_text, spare
 from .components import connected_components
 from .nearcopies import near_copies
 
@@ -41,14 +40,10 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
 def fingerprints(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), words: int = SHINGLE_WORDS) -> DataFrame:
     """``columns`` of every document and its fingerprint ``fp`` as a signed long."""
 
-    def of(batches):
-        for pdf in batches:
-            fps = np.array([fingerprint(t, words) for t in pdf["text"]], dtype=np.uint64).view(np.int64)
-            yield pdf[list(columns)].assign(fp=pd.Series(fps, index=pdf.index))
+    def work(texts):
+        return (np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64),)
 
-    picked = docs.select(*columns, "text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields if f.name in columns)
-    return picked.mapInPandas(of, f"{fields}, fp long")
+    return per_text(docs, columns, "fp long", lambda: work)
 
 
 def _key(kind: int, segment: str, rest: str, piece: tuple[int, int]) -> str:
@@ -90,7 +85,7 @@ def near_duplicates(fps: DataFrame) -> DataFrame:
     roots = connected_components(near_pairs(distinct)).withColumnRenamed("node", "fp")
     joined = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     joined = fence(joined)
-    ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = fence(joined.groupBy("root").agg(F.min("least").alias("component_id")))  # cut off, so that a very large component can be split
     return fps.join(joined.join(ids, "root").select("fp", "component_id"), "fp")
 
 
@@ -114,11 +109,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     sorts last; of repeated rows with one id the one with the smallest text
     digest stays, and of equal rows one. All columns are kept.
     """
-    spare = [n for n in ("__id", "__text", "__row")]
-    marked = docs.withColumns({spare[0]: F.col("doc_id"), spare[1]: F.xxhash64("text")})
-    groups = near_copies(marked, ("doc_id", spare[1]))
-    best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", spare[1])).alias("best"))
-    best = best.select(F.col("best.doc_id").alias(spare[0]), F.col(f"best.{spare[1]}").alias("__t"))
-    marked = marked.join(best, marked[spare[0]].eqNullSafe(best[spare[0]]) & (marked[spare[1]] == best["__t"]), "left_semi")
-    first = Window.partitionBy(*spare[:2]).orderBy(F.lit(1))
-    return marked.withColumn(spare[2], F.row_number().over(first)).where(f"{spare[2]} = 1").drop(*spare)
+    key, digest, other = spare(docs.columns, "near_id", "near_text", "near_other")
+    marked = docs.withColumns({key: F.col("doc_id"), digest: F.xxhash64("text")})
+    groups = near_copies(marked, (key, digest))
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col(key).isNull(), key, digest)).alias("best"))
+    best = fence(best.select(F.col(f"best.{key}").alias(key), F.col(f"best.{digest}").alias(other)))
+    marked = marked.join(best, marked[key].eqNullSafe(best[key]) & (marked[digest] == best[other]), "left_semi")
+    first = Window.partitionBy(key, digest).orderBy(F.lit(1))
+    return marked.withColumn(other, F.row_number().over(first)).where(F.col(other) == 1).drop(key, digest, other)

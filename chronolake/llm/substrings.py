@@ -6,9 +6,11 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bwt import BYTE, VOID, repeated
 from .common import fence, stored
@@ -124,23 +126,23 @@ def _pieces(data: bytes, h: int, place: int, first: int, last: int):
 
 
 def _piece_rows(docs: DataFrame) -> DataFrame:
-    """(t1, t2, start, key, low, high, left, right) of the anchors in ``runs`` of each text."""
+    """(h, c, n, rel, key, low, high, left, right) of the runs in ``runs`` of each text; rel counts from the anchor."""
 
     def of(batches):
         for pdf in batches:
             rows = []
-            for a, b, text, runs in zip(pdf["t1"], pdf["t2"], pdf["text"], pdf["runs"], strict=True):
+            for text, runs in zip(pdf["text"], pdf["runs"], strict=True):
                 data = _raw(text)
                 for r in runs:
                     for key, start, low, high, left, right in _pieces(data, r["h"], r["place"], r["first"], r["last"]):
-                        rows.append((a, b, start, key - (1 << 64) if key >> 63 else key, low, high, left, right))
+                        rows.append((r["h"], r["c"], r["n"], start - r["place"], key - (1 << 64) if key >> 63 else key, low, high, left, right))
                 if len(rows) >= 20_000:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
             yield pd.DataFrame(rows, columns=names)
 
-    names = ["t1", "t2", "start", "key", "low", "high", "left", "right"]
-    return docs.mapInPandas(of, "t1 long, t2 int, start int, key long, low int, high int, left binary, right binary")
+    names = ["h", "c", "n", "rel", "key", "low", "high", "left", "right"]
+    return docs.select("text", "runs").mapInPandas(of, "h long, c long, n long, rel int, key long, low int, high int, left binary, right binary")
 
 
 def _strings(pdf: pd.DataFrame) -> np.ndarray:
@@ -207,64 +209,65 @@ def _counted(contents: DataFrame) -> DataFrame:
 
 def _masks(pieces: DataFrame) -> DataFrame:
     """(key, c2, mask) of pieces that have repeated windows."""
-    contents = pieces.groupBy("key", "c2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("low", "high", "left", "right")))
+    contents = pieces.groupBy("key", "c2").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("low", "high", "left", "right")))
     contents = fence(contents)
-    sizes = contents.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where(F.col("all") >= 2)
+    sizes = fence(contents.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where(F.col("all") >= 2))
     sized = fence(contents.join(sizes, "key"))
-    alone = sized.where("kinds = 1").select("key", "c2", F.expr("(1L << (high + 1)) - (1L << low)").alias("mask"))
-    met = _transformed(sized.where(F.col("kinds").between(2, MOST_PIECES)).select("key", "c2", "n", "low", "high", "left", "right"))
+    met = _transformed(sized.where(F.col("kinds") <= MOST_PIECES).select("key", "c2", "n", "low", "high", "left", "right"))
     many = _counted(sized.where(F.col("kinds") > MOST_PIECES))
-    return alone.unionByName(met).unionByName(many).where("mask <> 0")
+    return met.unionByName(many).where("mask <> 0")
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """(t1, t2, first, last): runs of starts of repeated windows in each text.
 
     1. Every window has an anchor that equal windows share; anchors that occur
-       once need no more work. Counting them is one aggregation over about one
-       row per 170 bytes.
-    2. Where all runs around an anchor are equal, all their windows repeat.
-    3. Other runs are cut into pieces with common cores; cores that occur once,
-       or with equal surroundings only, are settled by counting.
-    4. What is left goes to merged Burrows-Wheeler transforms, with each core as
-       one symbol.
+       once can't be in repeated windows. Counting them is one aggregation over
+       about one row per 170 bytes, and loses nothing.
+    2. Of equal runs of windows around an anchor one is worked on, with their
+       number, so copies cost as much as one text.
+    3. These are cut into pieces, strings in which a core that all windows of a
+       piece hold is one symbol. Transforms of shards of them are merged, and the
+       blocks of the merged order are the repeated windows.
+    4. The runs found count for every equal run.
     """
     found = stored(_anchor_rows(docs))
-    seen = found.groupBy("h").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("several")).where("n >= 2").select("h", "several")
+    seen = found.groupBy("h").agg(F.count("*").alias("n")).where("n >= 2").select("h")
     # cut off, so that both sides of the join are dealt anew and a very common anchor can be split
-    kept = stored(found.join(fence(seen), "h").drop("c"))
-    same = kept.where("NOT several").select(*KEY, "first", "last")
-    runs = kept.where("several").select(*KEY, F.struct("h", "place", "first", "last").alias("run"))
-    tasks = fence(runs.groupBy(*KEY).agg(F.collect_set("run").alias("runs")))
-    texts = docs.select(*KEY, "text").join(tasks, list(KEY))
-    pieces = _piece_rows(texts).withColumn("c2", F.xxhash64("low", "high", "left", "right"))
-    pieces = stored(pieces)
+    kept = stored(found.join(fence(seen), "h"))
+    one = kept.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "place", "first", "last")).alias("r")).select("h", "c", "n", "r.*")
+    tasks = fence(one.groupBy(*KEY).agg(F.collect_list(F.struct("h", "c", "n", "place", "first", "last")).alias("runs")))
+    texts = docs.groupBy(*KEY).agg(F.first("text").alias("text")).join(tasks, list(KEY))
+    pieces = stored(_piece_rows(texts).withColumn("c2", F.xxhash64("low", "high", "left", "right")))
     masks = fence(_masks(pieces))
-    hit = pieces.join(masks, ["key", "c2"]).select(*KEY, "start", "mask").distinct()
-    bits = hit.select(*KEY, "start", F.explode(F.expr("filter(sequence(0, 31), i -> getbit(mask, i) = 1 AND (i = 0 OR getbit(mask, i - 1) = 0))")).alias("at"), "mask")
+    hit = pieces.select("h", "c", "rel", "key", "c2").join(masks, ["key", "c2"])
+    bits = hit.select("h", "c", "rel", F.explode(F.expr("filter(sequence(0, 31), i -> getbit(mask, i) = 1 AND (i = 0 OR getbit(mask, i - 1) = 0))")).alias("at"), "mask")
     # zeros above the run's first bit: adding one at it carries over the ones
     end = F.expr("CAST(log2((((mask >> at) ^ ((mask >> at) + 1L)) + 1L) >> 1) AS INT)")
-    runs = bits.select(*KEY, (F.col("start") + F.col("at")).alias("first"), (F.col("start") + F.col("at") + end - 1).alias("last"))
-    return same.unionByName(runs).distinct()
+    starts = F.struct((F.col("rel") + F.col("at")).alias("first"), (F.col("rel") + F.col("at") + end - 1).alias("last"))
+    runs = fence(bits.groupBy("h", "c").agg(F.collect_list(starts).alias("starts")))
+    every = kept.select(*KEY, "h", "c", "place").distinct().join(runs, ["h", "c"]).select(*KEY, "place", F.explode("starts").alias("s"))
+    return every.select(*KEY, (F.col("place") + F.col("s.first")).alias("first"), (F.col("place") + F.col("s.last")).alias("last"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Cut every byte covered by a LENGTH-byte string that also starts elsewhere.
 
     Result: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the
-    remaining bytes). Texts are UTF-8; null counts as empty; matches stay within
-    a document, and repeated rows are each other's copies; an empty table gives
-    no rows; other columns are ignored.
+    remaining bytes). Texts are UTF-8, of any length; null counts as empty;
+    matches stay within a document, and repeated rows are each other's copies; an
+    empty table gives no rows; other columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("t1"), F.hash(text).alias("t2"))
     starts = repeated_starts(keyed.where(F.octet_length("text") >= LENGTH))
     spans = fence(starts.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs")))
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").fields])
 
     def of(batches):
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for doc_id, text, runs in zip(pdf["doc_id"], pdf["text"], pdf["runs"], strict=True):
+            for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data, kept, at, n = _raw(text), [], 0, 0
                 for r in runs:
                     first, end = r["first"], r["last"] + LENGTH
@@ -273,12 +276,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                         n += 1
                     at = max(at, end)
                 rest = b"".join([*kept, data[at:]])
-                rows.append((doc_id, len(data), len(data) - len(rest), n, hashlib.sha256(rest).hexdigest(), rest))
-            yield pd.DataFrame(rows, columns=names)
+                rows.append((len(data), len(data) - len(rest), n, hashlib.sha256(rest).hexdigest(), rest))
+            made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=schema.names)
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     marked = keyed.join(spans, list(KEY), "left").withColumn("runs", F.coalesce("runs", F.expr("cast(array() as array<struct<first:int,last:int>>)")))
-    cut = marked.where(F.size("runs") > 0).select("doc_id", "text", "runs").mapInPandas(of, schema)
+    cut = marked.where(F.size("runs") > 0).select("doc_id", "text", "runs").mapInArrow(of, schema)
     clean = marked.where(F.size("runs") == 0).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.col("text").cast("binary").alias("kept"))
     return cut.unionByName(clean)
+
+
+def kept_text() -> Column:
+    """``kept`` as text; a character that a cut runs through becomes U+FFFD."""
+    return F.make_valid_utf8(F.col("kept").cast("string"))

@@ -11,13 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fence, held_out
+from .common import fence, held_out, per_text, spare
 from .gbt import Forest, fit
 
 #: The classifier is fitted on at most this many labelled rows, those with the smallest id hashes.
 MAX_LABELLED = 12_000
-#: At most this many word features, those of the largest log-odds, are kept.
-MAX_FEATURES = 20_000
+#: Regulariser: a word weighs nothing unless it is so many times likelier in toxic documents.
+MIN_RATIO = 4.5
 THRESHOLD = 0.7
 MODULUS, REST = 3, 1
 #: Parts of the labelled rows; trees learn from words weighed without a row's own part.
@@ -31,10 +31,16 @@ LEET = {
 #: Characters that may stand between the letters of a word.
 SEPARATORS = ".-_*~'’,:;/\\#%&^=\"`·•"
 
-_EDGE = re.compile(r"^[^\w@$]+|(?:[^\w@$]|([@$_])\1\1+)+$")
-_CLEAN = re.compile(r"(?:([^\W\d_])(?!\1\1))*")
+_EDGE = re.compile(r"^[^\w@$!|]+|(?:[^\w@$]|([@$_])\1\1+)+$")
+_CLEAN = re.compile(r"(?:([^\W\d_])(?!\1))*")
+_TRIPLED = re.compile(r"([^\W\d_])\1\1")
 _STRETCHED = re.compile(r"(?:([^\W\d_])\1+){3,}")
-_SINGLE = re.compile(r"[^\W_]|[@$!|+]")
+#: Costs of taking out a boundary or leaving it: between lone characters, and between other fragments of words; of putting one in.
+LONE, OTHER, INSERT = (0.0, 0.5), (2.5, 0.0), 7.0
+#: Words of at most this many characters may be parts of a word. Those with a smaller share of all words are suspicious.
+FRAGMENT, RARE = 3, 2e-5
+#: Entries of each cache of a task; what doesn't fit is worked out again.
+CACHED = 500_000
 CODES = 64
 
 
@@ -51,8 +57,13 @@ def _codes(text: str) -> np.ndarray:
     return code(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int32))
 
 
-def character_counts(docs: DataFrame) -> np.ndarray:
-    """Counts of symbol trigrams over all whole texts. Tasks count first; CODES**3 sums at most reach the driver."""
+def _symbols(text: str) -> tuple[int, ...]:
+    """The same of a short text."""
+    return tuple(0 if n < 97 or 122 < n < 0xC0 else n - 96 if n <= 122 else 27 + n % (CODES - 27) for n in map(ord, text))
+
+
+def character_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts over all whole texts of symbol trigrams, and of words of up to three symbols. Tasks count first; 2 * CODES**3 sums at most reach the driver."""
 
     def chunks(batches):
         held, size = [], 0
@@ -66,31 +77,48 @@ def character_counts(docs: DataFrame) -> np.ndarray:
         yield " ".join(held)
 
     def count(batches):
-        total = np.zeros(CODES**3, dtype=np.int64)
+        total = np.zeros(2 * CODES**3, dtype=np.int64)
         for chunk in chunks(batches):
             c = _codes(f" {chunk} ")
             c = np.concatenate(([0], c[np.concatenate(([True], (c[1:] != 0) | (c[:-1] != 0)))]))  # one boundary between words
-            total += np.bincount((c[:-2] * CODES + c[1:-1]) * CODES + c[2:], minlength=CODES**3)
+            total[: CODES**3] += np.bincount((c[:-2] * CODES + c[1:-1]) * CODES + c[2:], minlength=CODES**3)
+            ends = np.flatnonzero(c == 0)
+            for n in range(1, FRAGMENT + 1):
+                at = ends[:-1][np.diff(ends) == n + 1] + 1
+                key = np.zeros(len(at), dtype=np.int64)
+                for k in range(FRAGMENT):
+                    key = key * CODES + (c[at + k] if k < n else 0)
+                total[CODES**3 :] += np.bincount(key, minlength=CODES**3)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"gram": at.astype(np.int32), "n": total[at]})
 
     found = docs.select("text").mapInPandas(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(CODES**3)
+    counts = np.zeros(2 * CODES**3)
     counts[found["gram"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
-    return counts
+    return counts[: CODES**3], counts[CODES**3 :]
 
 
 class Channel:
     """Restores obfuscated words: the likeliest reading under a character model and channel costs."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, short: np.ndarray | None = None):
         c = counts.reshape(CODES, CODES, CODES)
         pair, single = c.sum(axis=0), c.sum(axis=(0, 1))
         uni = (single + 1) / (single.sum() + CODES)
         bi = (pair + 8 * uni) / (pair.sum(axis=1, keepdims=True) + 8)
         self.cost = (-np.log((c + 8 * bi[None]) / (c.sum(axis=2, keepdims=True) + 8))).astype(np.float32)
+        self.flat = memoryview(self.cost.ravel())
+        rare = np.zeros(CODES**FRAGMENT) if short is None else short
+        self.common = set(np.flatnonzero(rare > RARE * single[0]).tolist()) if single[0] else set()
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "flat"}
 
-    def lattice(self, word: str) -> list[list[tuple[str, float]]]:
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.flat = memoryview(self.cost.ravel())  # reads single costs much faster than the array; doesn't travel
+
+    def readings(self, word: str) -> list[list[tuple[str, float]]]:
         """For each run of one character its readings, each with the channel's cost."""
         steps = []
         for ch, run in groupby(word):
@@ -103,59 +131,128 @@ class Channel:
                 steps.append([("", 0.5 if ch in SEPARATORS else 3.0)])
         return steps
 
-    def decode(self, word: str) -> str:
-        """Viterbi over the lattice; a state is the last two symbols."""
-        states = {(0, 0): (0.0, "")}
-        for step in [*self.lattice(word), None]:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in states.items():
-                for reading, extra in step or [(" ", 0.0)]:
+    def lattice(self, parts: list[str]) -> list[list[tuple[str, float]]]:
+        """Steps of fragments: what stands between two may be a boundary or nothing, and long ones may hide a boundary."""
+        steps: list[list[tuple[str, float]]] = []
+        for k, part in enumerate(parts):
+            if k:
+                out, kept = LONE if len(part) == len(parts[k - 1]) == 1 else OTHER
+                steps.append([("", out), (" ", kept)])
+            own = self.readings(part)
+            for i, step in enumerate(own):
+                if i and len(part) > 2 * FRAGMENT:
+                    steps.append([("", 0.0), (" ", INSERT)])
+                steps.append(step)
+        return steps
+
+    def decode(self, *parts: str) -> str:
+        """Viterbi over the lattice; a state is the last two symbols, with the cost and the chain of readings so far."""
+        flat = self.flat
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for step in [*self.lattice(list(parts)), [(" ", 0.0)]]:
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            coded = [(reading, extra, _symbols(reading)) for reading, extra in step]
+            for (a, b), (cost, chain) in states.items():
+                for reading, extra, symbols in coded:
                     x, y, total = a, b, cost + extra
-                    for s in _codes(reading).tolist() if reading else ():
-                        total += float(self.cost[x, y, s])
+                    for s in symbols:
+                        total += flat[(x * CODES + y) * CODES + s]
                         x, y = y, s
                     if (x, y) not in after or total < after[x, y][0]:
-                        after[x, y] = (total, text + reading)
+                        after[x, y] = (total, (chain, reading) if reading else chain)
             states = after
-        return min(states.values())[1].strip()
+        chain, out = min(states.values(), key=lambda v: v[0])[1], []
+        while chain:
+            chain, reading = chain
+            out.append(reading)
+        return "".join(reversed(out)).strip()
+
+    def length(self, word: str) -> float:
+        """Cost of a word under the character model alone."""
+        x, y, total = 0, 0, 0.0
+        for s in (*_symbols(word), 0):
+            total += self.flat[(x * CODES + y) * CODES + s]
+            x, y = y, s
+        return total
 
     def restore(self, token: str) -> str:
-        """The word behind a lower-cased token: edge punctuation goes, and what isn't clean is decoded."""
-        if token.isalpha() and _CLEAN.fullmatch(token) and not _STRETCHED.fullmatch(token):
-            return token
+        """The words behind a lower-cased token: edge punctuation goes, and what isn't clean is decoded.
+
+        A word with doubled letters is clean if it isn't likelier with single
+        ones.
+        """
+        if token.isalpha() and not _STRETCHED.fullmatch(token):
+            if _CLEAN.fullmatch(token):
+                return token
+            if not _TRIPLED.search(token) and self.length(token) <= self.length("".join(ch for ch, _ in groupby(token))) + 1.0:
+                return token
         core = _EDGE.sub("", token)
         if _STRETCHED.fullmatch(core):
             return "".join(ch for ch, _ in groupby(core))
         if _CLEAN.fullmatch(core) and core:
             return core
-        letters = sum(map(str.isalpha, core))
-        return core if letters < 2 or letters * 3 < len(core) else self.decode(core)
-
-
-def words(text: str | None, channel: Channel, known: dict[str, str]) -> set[str]:
-    """Distinct restored words of a whole text; three or more lone letters in a row also make one word."""
-    tokens = (text or "").lower().split()
-    found = set()
-    for t in set(tokens):
-        w = known.get(t)
-        if w is None:
-            w = channel.restore(t)
-            if len(known) < 500_000:
-                known[t] = w
-        found.add(w)
-    lone: list[str] = []
-    for t in [*tokens, "  "] if any(len(t) == 1 for t in tokens) else ():
-        if len(t) == 1 and _SINGLE.match(t):
-            lone.append(t)
-            continue
-        if len(lone) >= 3:
-            tail = _EDGE.sub("", t)
-            joined = "".join(lone) + (tail if len(tail) == 1 else "")
-            # a word of one letter may stand before or after
-            found |= {channel.decode(x) for x in (joined, joined[1:], joined[:-1]) if any(map(str.isalpha, x))}
-        lone = []
-    found.discard("")
-    return found
+        plain = not any(ch.isalpha() or (ch in LEET and not ch.isdigit()) for ch in core)
+        return core if plain or not any(ch.isalpha() or ch in LEET for ch in core) else self.decode(core)
+
+    def fragment(self, token: str) -> tuple[str, bool] | None:
+        """A possible part of a word, and whether it is suspicious; nothing if the token is no part of one; an empty part for marks alone."""
+        core = token if token.isalnum() else _EDGE.sub("", token) or ("" if len(token) <= FRAGMENT and not any(map(str.isalnum, token)) else token)
+        if len(core) > FRAGMENT or len(core) > 1 and core.isdigit() or not all(ch.isalpha() or ch in LEET for ch in core):
+            return None
+        if not core:
+            return "", False
+        if any(ch in LEET for ch in core):
+            return core, not core.isdigit()
+        key = 0
+        for k in [*_codes(core).tolist(), 0, 0][:FRAGMENT]:
+            key = key * CODES + k
+        return core, key not in self.common
+
+
+class Reader:
+    """Restored words of texts, with caches that live as long as a task."""
+
+    def __init__(self, channel: Channel):
+        self.channel = channel
+        self.known: dict[str, tuple[str, ...]] = {}
+        self.parts: dict[str, tuple[str, bool] | None] = {}
+        self.runs: dict[tuple[str, ...], tuple[str, ...]] = {}
+
+    @staticmethod
+    def _through(cache: dict, key, make):
+        if key in cache:
+            return cache[key]
+        value = make()
+        if len(cache) < CACHED:
+            cache[key] = value
+        return value
+
+    def _run(self, run: list[str]) -> tuple[str, ...]:
+        run = tuple(run)
+        return self._through(self.runs, run, lambda: tuple(self.channel.decode(*run).split()))
+
+    def words(self, text: str | None) -> set[str]:
+        """Distinct restored words of a whole text. Runs of short fragments are also decoded as a whole, if they hold a suspicious one or three lone characters."""
+        tokens = (text or "").lower().split()
+        different, found = set(tokens), set()
+        for t in different:
+            found.update(self._through(self.known, t, lambda t=t: tuple(self.channel.restore(t).split())))
+        short = {t: self._through(self.parts, t, lambda t=t: self.channel.fragment(t)) for t in different if len(t) <= 2 * FRAGMENT}
+        if any(p and (p[1] or len(p[0]) == 1) for p in short.values()):
+            run, odd, lone = [], False, 0
+            for t in [*tokens, None]:
+                part = short.get(t)
+                if part is None:
+                    if len(run) > 1 and (odd or lone >= 3):
+                        found.update(self._run(run))
+                        if lone == len(run) > 3:  # a word of one letter may stand before or after
+                            found.update(self._run(run[1:]), self._run(run[:-1]))
+                    run, odd, lone = [], False, 0
+                elif part[0]:
+                    run.append(part[0])
+                    odd, lone = odd or part[1], lone + (len(part[0]) == 1)
+        found.discard("")
+        return found
 
 
 def features(word: str) -> list[str]:
@@ -170,7 +267,7 @@ def summary(found: set[str], weights: dict[str, float], known: dict[str, float])
         x = known.get(w)
         if x is None:
             x = max(map(weights.get, features(w), (0.0, 0.0, 0.0, 0.0)))
-            if len(known) < 500_000:
+            if len(known) < CACHED:
                 known[w] = x
         if x > 0:
             hits.append(x)
@@ -197,9 +294,9 @@ def train(docs: DataFrame, labels: DataFrame, channel: Channel, max_labelled: in
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic", fold)
 
     def spread(batches):
-        cache: dict[str, str] = {}
+        reader = Reader(channel)
         for pdf in batches:
-            yield pdf[["toxic", "fold"]].assign(w=[sorted(words(t, channel, cache)) for t in pdf["text"]])
+            yield pdf[["toxic", "fold"]].assign(w=[sorted(reader.words(t)) for t in pdf["text"]])
 
     found = fence(texts.mapInPandas(spread, "toxic int, fold int, w array<string>"))
     sizes = {r["fold"]: (r["t"], r["n"]) for r in found.groupBy("fold").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect()}
@@ -214,7 +311,8 @@ def train(docs: DataFrame, labels: DataFrame, channel: Channel, max_labelled: in
     sums = [F.sum(F.when(F.col("fold") == k, x).otherwise(0)).alias(f"{name}{k}") for k in range(FOLDS) for name, x in (("t", F.col("toxic")), ("n", F.lit(1)))]
     seen = each.groupBy("f").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"), *sums).where("t >= 2")
     ratio = (F.col("t") + 0.5) / (F.col("n") - F.col("t") + 0.5)
-    kept = seen.where(ratio > 4.5 * (toxic + 1) / (rows - toxic + 1)).orderBy(F.desc(ratio), "f").limit(MAX_FEATURES).toPandas()
+    kept = seen.where(ratio > MIN_RATIO * (toxic + 1) / (rows - toxic + 1)).toPandas()  # at most the words of the labelled rows
+    kept = kept.sort_values("f", ignore_index=True)
     names = kept["f"].tolist()
     every = _weigh(kept["t"].to_numpy(float), kept["n"].to_numpy(float), toxic, rows)
     weights = {f: w for f, w in zip(names, every.tolist(), strict=True) if w > 0}
@@ -228,41 +326,43 @@ def train(docs: DataFrame, labels: DataFrame, channel: Channel, max_labelled: in
         for pdf in batches:
             yield pd.DataFrame({"y": pdf["toxic"].to_numpy(), "x": [summary(set(w), without[k], scores[k]) for w, k in zip(pdf["w"], pdf["fold"], strict=True)]})
 
-    got = found.mapInPandas(summed, "y int, x array<double>").toPandas()
+    # an id that many rows repeat doesn't bring more rows to the driver
+    got = found.mapInPandas(summed, "y int, x array<double>").orderBy(F.xxhash64("x", "y"), "y").limit(max_labelled).toPandas()
     x = np.array(got["x"].tolist(), dtype=np.float64).reshape(len(got), 5)
     y = got["y"].to_numpy(dtype=np.float64)
     order = np.lexsort((*x.T, y))
     return weights, fit(x[order], y[order], trees=40, depth=3)
 
 
-def scored(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """``columns`` of ``docs`` with ``__score``, a name that tables don't use."""
-    channel = Channel(character_counts(docs))
+def scored(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...], name: str) -> DataFrame:
+    """``columns`` of ``docs`` with the score as ``name``."""
+    channel = Channel(*character_counts(docs))
     weights, forest = train(docs, labels, channel)
 
-    def score(batches):
-        cache: dict[str, str] = {}
-        known: dict[str, float] = {}
-        for pdf in batches:
-            x = np.array([summary(words(t, channel, cache), weights, known) for t in pdf["text"]], dtype=np.float64).reshape(len(pdf), 5)
-            yield pdf[list(columns)].assign(__score=forest.predict(x))
+    def make():
+        reader, known = Reader(channel), {}
+
+        def work(texts):
+            x = np.array([summary(reader.words(t), weights, known) for t in texts], dtype=np.float64).reshape(len(texts), 5)
+            return (forest.predict(x),)
+
+        return work
 
-    picked = docs.select(*dict.fromkeys((*columns, "text")))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields if f.name in columns)
-    return picked.mapInPandas(score, f"{fields}, __score double")
+    return per_text(docs, columns, f"`{name}` double", make)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score every whole text: doc_id, held_out, score (0 to 1), predicted (score >= 0.7).
 
-    Null texts score as empty ones, repeated rows are scored each, an empty
-    table gives no rows, other columns are ignored. Without any usable label
-    every score is 0.5.
+    Null texts score as empty ones, very long ones are read whole, repeated rows
+    are scored each, an empty table gives no rows, other columns are ignored.
+    Without any usable label every score is 0.5.
     """
-    out = scored(docs, labels, ("doc_id",)).withColumnRenamed("__score", "score")
+    out = scored(docs, labels, ("doc_id",), "score")
     return out.select("doc_id", held_out(F.col("doc_id"), MODULUS, REST).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those predicted toxic; columns and repeated rows stay."""
-    return scored(docs, labels, tuple(docs.columns)).where(F.col("__score") < THRESHOLD).drop("__score")
+    """``docs`` without those predicted toxic; columns, whatever their names, and repeated rows stay, null texts count as empty."""
+    (name,) = spare(docs.columns, "toxicity")
+    return scored(docs, labels, tuple(docs.columns), name).where(F.col(name) < THRESHOLD).drop(name)

@@ -11,11 +11,11 @@ def prose(seed: int, n: int) -> str:
 
 
 #: Nulls, empty and blank texts, ties, repeated rows, a long text; extra columns whose names clash with inner ones.
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, fp long, score double, t1 long, h string, n long, bucket long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, fp long, score double, t1 long, h string, n long, bucket long, __id long, __score double, __t1 long, near_id long, toxicity double, text_in string"
 
 
 def rows_of(texts):
-    return [(i, t, "en", s, None if t is None else len(t), 1, "k", 2, 0.5, 3, "h", 4, 5) for i, t, s in texts]
+    return [(i, t, "en", s, None if t is None else len(t), 1, "k", 2, 0.5, 3, "h", 4, 5, 6, 0.5, 7, 8, 0.5, "in") for i, t, s in texts]
 
 
 @pytest.fixture(scope="session")

@@ -25,6 +25,18 @@ def test_licences(spark, awkward, empty):
     assert licenses.scan(awkward).count() == 0 and licenses.scan(empty).count() == 0
 
 
+def test_licences_in_long_texts(spark):
+    """Repeats have no cap; of a text in paragraphs each paragraph is found, whatever follows."""
+    mit, bsd = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["BSD-2-Clause"]
+    wrapped = lambda t: "\n".join(" ".join(t.split()[k : k + 9]) for k in range(0, len(t.split()), 9))
+    texts = [
+        "licensed under the mit license " * 3, "licensed under the mit license " * 100, " ".join([mit[3]] * 4), wrapped(" ".join([mit[3]] * 4)),
+        "\n\n".join([prose(1, 50), *map(wrapped, mit[4:]), prose(2, 400)]), "\n\n".join([prose(3, 900), *map(wrapped, bsd[2:]), prose(4, 50)]), prose(5, 3000),
+    ]
+    found = {r["doc_id"]: (r["licence"], r["n_units"]) for r in licenses.scan(documents(spark, texts)).collect()}
+    assert {k: v[0] for k, v in found.items()} == {**{k: "MIT" for k in range(5)}, 5: "BSD-2-Clause"} and found[4][1] == 3 and found[5][1] == 4
+
+
 def test_size_bounds_lose_nothing():
     for b in (3, 7, 100):
         admitted = licenses.sizes(b)
@@ -223,10 +235,35 @@ def test_secrets(spark, awkward, empty):
         assert set(filter(None, want.split(","))) <= set(rows[i]["spans"].split(",")) and rows[i]["n_assign"] + rows[i]["n_access"] + rows[i]["n_hex"] == want.count(":") // 2
     assert rows[5]["spans"] == "random:4:48"
     assert rows[6]["spans"] == rows[7]["spans"] == rows[8]["spans"] == ""
+    many = " ".join(f"token=abcdefgh{k}" for k in range(3000))
+    (row,) = secrets.digest(secrets.find_secrets(documents(spark, [many]))).collect()
+    assert row["base_sha256"] == hashlib.sha256(brute_spans(many).encode()).hexdigest() and row["n_assign"] == 3000
     assert secrets.digest(secrets.find_secrets(awkward)).where("spans <> ''").count() == 0
     assert secrets.find_secrets(awkward).count() == awkward.count() and secrets.find_secrets(empty).count() == 0
 
 
+def test_secret_battery_by_simulation(spark):
+    """Random tokens are found in nearly all cases, structured ones make at most a small share of what is reported; p-values hold their level."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(11)
+    words = [prose(k, 1) for k in range(200)]
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]
+    keys = ["".join(r.choice(alphabets[k % 5]) for _ in range(r.choice([24, 28, 30, 31]))) for k in range(400)]
+    names = ["".join(w.title() if k % 2 else f"{w}_" for w in r.sample(words, 5))[:60].strip("_") for k in range(400)]
+    texts = [f"{prose(k, 30)} {keys[k]} {prose(k + 1, 9)} {names[k]} {'-' * 30} {'ab' * 15}" for k in range(400)]
+    docs = documents(spark, texts)
+    found = {x["doc_id"]: x["spans"] for x in secrets.find_secrets(docs).collect()}
+    hits = [(k, texts[k][s["start"] : s["end"]]) for k in found for s in found[k] if s["kind"] == "random"]
+    right = sum(t == keys[k] for k, t in hits)
+    assert right >= 0.95 * len(keys) and len(hits) - right <= 0.05 * len(hits)
+    judged = docs.select(F.explode(secrets._with_p(secrets._spans(F.col("text"), "random", secrets.TOKEN, 0, 20), secrets.structure(docs))).alias("c")).select("c.*").collect()
+    random_p = sorted(x["random"] for x in judged if texts)
+    assert sum(p <= 0.01 for p in random_p) >= 400  # rulers and repeats are told from random
+    structured = [x["p"] for x in judged if x["p"] > 0.9]
+    assert len(structured) >= 400
+
+
 # Repeated substrings
 
 
@@ -285,3 +322,43 @@ def test_components(spark):
     got = dict(connected_components(spark.createDataFrame(chain, "a long, b long")).collect())
     assert got == {**{k: 0 for k in range(1, 51)}, **{k: 100 for k in range(101, 140)}, 150: 100}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# All of them
+
+
+def test_ids_and_columns_come_through(spark):
+    """64-bit ids beside a null one, and extra columns with the names that operators use inside."""
+    from pyspark.sql import functions as F
+
+    from chronolake.llm import pii, quality, toxicity
+
+    base = 2**62 + 1
+    texts = [(base + 2 * k, prose(k, 40 + k), "s") for k in range(6)] + [(None, prose(70, 50), "s"), (base + 50, None, None)]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA).coalesce(1)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, prose(3, 43))], "item_id long, text string")
+    ids = sorted((i for i, _, _ in texts), key=str)
+    outs = [
+        quality.classify(docs, labels), toxicity.classify(docs, labels), simhash.simhash_components(docs), mixing.mix(docs), secrets.find_secrets(docs), pii.anonymise(docs), substrings.remove_repeats(docs),
+        toxicity.reject(docs, labels), simhash.keep_one(docs), pii.anonymise_documents(docs),
+    ]
+    for out in outs:
+        assert sorted((r["doc_id"] for r in out.select("doc_id").collect()), key=str) == ids, out.columns
+    for out in outs[7:]:
+        assert out.columns == docs.columns and out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+        assert out.agg(F.sum("__id"), F.sum("__t1"), F.sum("near_id"), F.sum("toxicity")).first()[:] == (48, 56, 64, 4.0)
+    left = decontamination.remove_contaminated(docs, bench)
+    assert left.columns == docs.columns and left.count() == 7
+
+
+def test_broadcasts_are_checked_in_rows_and_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from chronolake.llm.common import small, spare
+
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString() or "UnresolvedHint" in df._jdf.queryExecution().logical().toString()
+    few = spark.range(100)
+    assert hinted(small(few)) and not hinted(small(few, rows=99)) and not hinted(small(few, size=100))
+    assert not hinted(small(few.select(F.expr("repeat('x', 1000)").alias("x")), size=50_000))
+    assert spare(["A", "_a"], "a", "b", "b") == ["__a", "b", "_b"]

@@ -156,7 +156,7 @@ def matches(docs: DataFrame, bench: DataFrame) -> tuple[DataFrame, DataFrame]:
     alike = pairs.withColumn("similarity", _similarity(F.col("sh"), F.col("item_sh"))).where(F.col("similarity") >= SIMILARITY)
     alike = alike.groupBy("n", "h", "item_id").agg(F.max("similarity").alias("similarity"))
     best = windows.join(alike, ["n", "h"]).groupBy(*KEY, "item_id").agg(F.max(F.struct("similarity", (-F.col("s")).alias("s"), F.size("h").alias("n"))).alias("b"))
-    return hit, best.select(*KEY, "item_id", "b.similarity", (-F.col("b.s")).alias("start"), F.col("b.n").alias("n_words"))
+    return hit, fence(best.select(*KEY, "item_id", "b.similarity", (-F.col("b.s")).alias("start"), F.col("b.n").alias("n_words")))
 
 
 def contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:

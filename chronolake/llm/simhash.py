@@ -109,11 +109,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     sorts last; of repeated rows with one id the one with the smallest text
     digest stays, and of equal rows one. All columns are kept.
     """
-    key, digest, other = spare(docs.columns, "near_id", "near_text", "near_other")
-    marked = docs.withColumns({key: F.col("doc_id"), digest: F.xxhash64("text")})
-    groups = near_copies(marked, (key, digest))
-    best = groups.groupBy("root").agg(F.min(F.struct(F.col(key).isNull(), key, digest)).alias("best"))
-    best = fence(best.select(F.col(f"best.{key}").alias(key), F.col(f"best.{digest}").alias(other)))
-    marked = marked.join(best, marked[key].eqNullSafe(best[key]) & (marked[digest] == best[other]), "left_semi")
-    first = Window.partitionBy(key, digest).orderBy(F.lit(1))
-    return marked.withColumn(other, F.row_number().over(first)).where(F.col(other) == 1).drop(key, digest, other)
+    key, one, two, other = spare(docs.columns, "near_id", "near_text1", "near_text2", "near_other")
+    marked = docs.withColumns({key: F.col("doc_id"), one: F.xxhash64("doc_id", "text"), two: F.hash("doc_id", "text", F.lit(1))})
+    groups = near_copies(marked, (key, one, two), (one, two))
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col(key).isNull(), key, F.xxhash64(one, two), one, two)).alias("best"))
+    best = fence(best.select(f"best.{one}", f"best.{two}"))
+    # joined and numbered by the same key, so that texts are dealt once
+    first = Window.partitionBy(one, two).orderBy(F.lit(1))
+    kept = marked.join(best, [one, two], "left_semi").withColumn(other, F.row_number().over(first)).where(F.col(other) == 1)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bwt import BYTE, VOID, repeated
-from .common import fence, stored
+from .common import fence, small, stored
 
 LENGTH = 400
 #: Length of the strings whose hashes choose anchors; every LENGTH bytes hold SPAN of them.
@@ -213,9 +213,10 @@ def _masks(pieces: DataFrame) -> DataFrame:
     contents = fence(contents)
     sizes = fence(contents.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where(F.col("all") >= 2))
     sized = fence(contents.join(sizes, "key"))
-    met = _transformed(sized.where(F.col("kinds") <= MOST_PIECES).select("key", "c2", "n", "low", "high", "left", "right"))
+    alone = sized.where("kinds = 1").select("key", "c2", F.expr("(1L << (high + 1)) - (1L << low)").alias("mask"))
+    met = _transformed(sized.where(F.col("kinds").between(2, MOST_PIECES)).select("key", "c2", "n", "low", "high", "left", "right"))
     many = _counted(sized.where(F.col("kinds") > MOST_PIECES))
-    return met.unionByName(many).where("mask <> 0")
+    return alone.unionByName(met).unionByName(many).where("mask <> 0")
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
@@ -224,20 +225,25 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     1. Every window has an anchor that equal windows share; anchors that occur
        once can't be in repeated windows. Counting them is one aggregation over
        about one row per 170 bytes, and loses nothing.
-    2. Of equal runs of windows around an anchor one is worked on, with their
-       number, so copies cost as much as one text.
+    2. Where all runs around an anchor are equal, all their windows repeat. Of
+       other equal runs one is worked on, with their number, so copies cost as
+       much as one text.
     3. These are cut into pieces, strings in which a core that all windows of a
-       piece hold is one symbol. Transforms of shards of them are merged, and the
-       blocks of the merged order are the repeated windows.
+       piece hold is one symbol; a core with equal surroundings only needs no
+       order. Transforms of shards of the others are merged, and the blocks of
+       the merged order are the repeated windows.
     4. The runs found count for every equal run.
     """
     found = stored(_anchor_rows(docs))
-    seen = found.groupBy("h").agg(F.count("*").alias("n")).where("n >= 2").select("h")
+    seen = found.groupBy("h").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("several")).where("n >= 2").select("h", "several")
     # cut off, so that both sides of the join are dealt anew and a very common anchor can be split
     kept = stored(found.join(fence(seen), "h"))
+    same = kept.where("NOT several").select(*KEY, "first", "last")
+    kept = kept.where("several").drop("several")
     one = kept.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "place", "first", "last")).alias("r")).select("h", "c", "n", "r.*")
     tasks = fence(one.groupBy(*KEY).agg(F.collect_list(F.struct("h", "c", "n", "place", "first", "last")).alias("runs")))
-    texts = docs.groupBy(*KEY).agg(F.first("text").alias("text")).join(tasks, list(KEY))
+    some = docs.join(small(tasks.select(*KEY)), list(KEY), "left_semi")
+    texts = some.groupBy(*KEY).agg(F.first("text").alias("text")).join(tasks, list(KEY))
     pieces = stored(_piece_rows(texts).withColumn("c2", F.xxhash64("low", "high", "left", "right")))
     masks = fence(_masks(pieces))
     hit = pieces.select("h", "c", "rel", "key", "c2").join(masks, ["key", "c2"])
@@ -247,7 +253,8 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     starts = F.struct((F.col("rel") + F.col("at")).alias("first"), (F.col("rel") + F.col("at") + end - 1).alias("last"))
     runs = fence(bits.groupBy("h", "c").agg(F.collect_list(starts).alias("starts")))
     every = kept.select(*KEY, "h", "c", "place").distinct().join(runs, ["h", "c"]).select(*KEY, "place", F.explode("starts").alias("s"))
-    return every.select(*KEY, (F.col("place") + F.col("s.first")).alias("first"), (F.col("place") + F.col("s.last")).alias("last"))
+    runs = every.select(*KEY, (F.col("place") + F.col("s.first")).alias("first"), (F.col("place") + F.col("s.last")).alias("last"))
+    return same.unionByName(runs).distinct()
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -56,11 +56,14 @@ class Table:
         return self.log.points()
 
     def query(self) -> Query:
-        return Query(self.points, tuple(self.tag_columns), self.log.put, self.log.width)
+        return Query(self.points, tuple(self.tag_columns), self.log.put, self.log.bucket)
 
-    def put_points(self, points: DataFrame, order: Column | None = None) -> None:
-        """Write many points at once; of equal keys the one with the largest ``order`` (default: the later row) wins."""
-        self.log.append(points, order)
+    def put_points(self, points: DataFrame, order: Column | None = None, stream: tuple[str, int] | None = None) -> None:
+        """Write many points at once; of equal keys the one with the largest ``order`` (default: the later row) wins.
+
+        ``stream`` names a stream and its batch, which is written once.
+        """
+        self.log.append(points, order, stream=stream)
 
     def remove_points(self, keys: DataFrame) -> None:
         """Delete many points at once."""
@@ -73,6 +76,14 @@ class Table:
         """Keep only the live points, in buckets of ``width`` seconds."""
         self.log.compact(width)
 
+    def compact_by_age(self, now: int) -> None:
+        """The same in buckets that widen with age."""
+        self.log.compact_by_age(now)
+
+    def cache(self) -> None:
+        """Keep the live points at hand until the next write."""
+        self.log.cache()
+
     def vacuum(self) -> None:
         self.log.vacuum()
 

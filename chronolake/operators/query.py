@@ -21,7 +21,7 @@ AGGREGATES: dict[str, Callable[[str], Column]] = {"count": lambda _: F.count(F.l
 class Query:
     """A query over the points that ``source`` gives: timestamp, metric, tag columns, value.
 
-    ``width`` is the bucket width if the source is partitioned by bucket;
+    ``bucket`` gives a timestamp's bucket if the source is partitioned by such;
     predicates on time then also select buckets. ``write`` takes (key, value or
     None) for put and remove. Every method returns a new query.
     """
@@ -29,7 +29,7 @@ class Query:
     source: Callable[[], DataFrame]
     tags: tuple[str, ...] = ()
     write: Callable[[Key, float | None], None] | None = None
-    width: int | None = None
+    bucket: Callable[[int], int] | None = None
     kind: str | None = None
     parameter: Any = None
     filters: tuple[Column, ...] = ()
@@ -96,8 +96,8 @@ class Query:
         if not timestamps:
             return self._filtered(F.lit(False))
         query = self._filtered(F.col("timestamp").isin(*timestamps))
-        if self.width:
-            query = query._filtered(F.col("bucket").isin(*{t // self.width * self.width for t in timestamps}))
+        if self.bucket:
+            query = query._filtered(F.col("bucket").isin(*set(map(self.bucket, timestamps))))
         return query
 
     # Writes.
@@ -116,8 +116,8 @@ class Query:
 
     def _bounds(self, start: int, end: int) -> Column:
         inside = F.col("timestamp").between(start, end)
-        if self.width:
-            inside &= F.col("bucket").between(start // self.width * self.width, end // self.width * self.width)
+        if self.bucket:
+            inside &= F.col("bucket").between(self.bucket(start), self.bucket(end))
         return inside
 
     def _selected(self) -> DataFrame:

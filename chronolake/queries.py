@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import Database
+from .errors import EngineError
 from .functions.keys import Key, parsed, rendered, tag_column
 from .operators.query import Query
 from .sources.changelog import DELETE, PUT, bucket_of, current
@@ -102,7 +103,10 @@ def _rounded(result: DataFrame, digits: int) -> DataFrame:
 
 def _database(spark: SparkSession) -> Database:
     """A throw-away database in the folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not (spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")):
+        raise EngineError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+    base = base or tempfile.gettempdir()
     return Database(spark, f"{base.rstrip('/')}/chronolake-{spark.sparkContext.applicationId}-{next(_COUNT)}")
 
 
@@ -231,11 +235,6 @@ _simple(
     lambda s, d: orders(s, d).point(_some_order(s, d)).aggregate("max"),
     f'WITH {_OD}, {_FIRST_ORDER} SELECT max(od.value) AS "max" FROM od JOIN f USING (timestamp, metric, tag_priority, tag_status)',
 )
-_simple(
-    "compact_windows",
-    lambda s, d: events(s, d, True).points().groupBy(bucket_of("timestamp", WEEK).alias("window_start"), "metric").agg(F.count(F.lit(1)).alias("n")),
-    f"WITH {_EV} SELECT CAST(floor(timestamp / {WEEK}) AS BIGINT) * {WEEK} AS window_start, metric, count(*) AS n FROM ev WHERE NOT del GROUP BY ALL",
-)
 _simple("key_render", lambda s, d: events(s, d).points().select(rendered(EVENT_TAGS).alias("point_key")), f"WITH {_EV} SELECT {_EV_KEY} FROM ev")
 
 
@@ -244,8 +243,8 @@ def _key_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["key_render"](spark, sf_dir).select(*parsed(F.col("point_key"), EVENT_TAGS))
 
 
-def _stored_events(spark: SparkSession, sf_dir: str):
-    table = _database(spark).create_table("events", EVENT_TAGS, WEEK)
+def _stored_events(spark: SparkSession, sf_dir: str, width: int = WEEK):
+    table = _database(spark).create_table("events", EVENT_TAGS, width)
     log = event_log(spark, sf_dir)
     table.put_points(log.drop("op"), F.col("seq"))
     return table, log
@@ -268,12 +267,110 @@ def _stored_between_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _totals(table.query().where_timestamp_between(T0, T1).points())
 
 
-@_register("vq_select_avg_where", f"""WITH {_EV} SELECT round(avg(value), 6) AS "avg" FROM ev WHERE metric = 'click' AND timestamp BETWEEN {T0} AND {T1}""")
-def _vq_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same engine through its text language."""
-    table, _ = _stored_events(spark, sf_dir)
-    database = Database(spark, table.path.rsplit("/", 1)[0])
-    return _rounded(database.frame(f"SELECT AVG click FROM events BETWEEN {T0} AND {T1};"), 6)
+@_register(
+    "compact_windows", f"WITH {_EV} SELECT CAST(floor(timestamp / {WEEK}) AS BIGINT) * {WEEK} AS window_start, metric, count(*) AS n FROM ev WHERE NOT del GROUP BY ALL"
+)
+def _compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of each stored bucket after deletions and a compaction to weeks."""
+    table, log = _stored_events(spark, sf_dir, 86_400)
+    table.remove_points(current(log, EVENT_TAGS, [F.desc("seq")]).where("seq % 17 = 0").drop("op", "seq", "value"))
+    table.compact(WEEK)
+    return table.points().groupBy(F.col("bucket").alias("window_start"), "metric").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_register("compact_by_age", f"WITH {_EV} SELECT {_TOTALS} FROM ev WHERE timestamp BETWEEN {T0} AND {T1} GROUP BY metric")
+def _compact_by_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A time range over buckets that widen with age, with a batch written after them."""
+    table, log = _stored_events(spark, sf_dir, 86_400)
+    table.compact_by_age(T1 + 40 * 86_400)
+    table.put_points(log.drop("op").where("seq % 5 = 0"), F.col("seq"))
+    table.put_points(current(log, EVENT_TAGS, [F.desc("seq")]).drop("op"), F.col("seq"))
+    return _totals(table.query().where_timestamp_between(T0, T1).points())
+
+
+@_register("reopen_after_crash", f"WITH {_EV} SELECT {_TOTALS} FROM ev GROUP BY metric")
+def _reopen_after_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch that is written but not noted doesn't count, also not when another one follows; single writes outlive their session."""
+    table, log = _stored_events(spark, sf_dir)
+    broken = Database(spark, table.path.rsplit("/", 1)[0]).get_table("events")
+    broken.log._save = lambda **changes: _fail() if "seq" in changes else type(broken.log)._save(broken.log, **changes)
+    try:
+        broken.put_points(log.drop("op").withColumn("value", F.lit(-1.0)))
+    except InterruptedError:
+        pass
+    again = Database(spark, table.path.rsplit("/", 1)[0]).get_table("events")
+    again.query().put(1, "left", {"user": "me"}, 3.0).execute()
+    last = Database(spark, table.path.rsplit("/", 1)[0]).get_table("events")
+    last.query().remove(1, "left", {"user": "me"}).execute()
+    return _totals(last.points())
+
+
+def _fail() -> None:
+    raise InterruptedError
+
+
+def _stored_orders(spark: SparkSession, sf_dir: str):
+    table = _database(spark).create_table("orders", ORDER_TAGS, 365 * 86_400)
+    log = order_log(spark, sf_dir)
+    table.put_points(log.drop("op"), F.col("seq"))
+    return table, Database(spark, table.path.rsplit("/", 1)[0])
+
+
+@_register("stored_point_get", f"WITH {_OD}, {_FIRST_ORDER} SELECT {_OD_KEY}, od.value FROM od JOIN f USING (timestamp, metric, tag_priority, tag_status)")
+def _stored_point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key of a stored table, which reads one bucket."""
+    table, _ = _stored_orders(spark, sf_dir)
+    return _shown(table.query().point(_some_order(spark, sf_dir)).execute(), ORDER_TAGS)
+
+
+O0, O1 = 800_000_000, 880_000_000
+for _name, _text, _condition in (
+    ("vq_select_avg_where", f"AVG totalprice FROM orders BETWEEN {O0} AND {O1} WHERE status=F", f"timestamp BETWEEN {O0} AND {O1} AND tag_status = 'F'"),
+    ("vq_select_count_where", "COUNT totalprice FROM orders ALL WHERE status=O", "tag_status = 'O'"),
+    ("vq_select_sum_all", "SUM totalprice FROM orders ALL", "true"),
+    ("vq_select_min_between", f"MIN totalprice FROM orders BETWEEN {O0} AND {O1}", f"timestamp BETWEEN {O0} AND {O1}"),
+    ("vq_select_max_where", "MAX totalprice FROM orders ALL WHERE status=P", "tag_status = 'P'"),
+):
+    _kind = _text.split()[0].lower()
+    _simple(
+        _name,
+        lambda s, d, t=_text, k=_kind: (lambda a: a if k == "count" else _rounded(a, 4))(_stored_orders(s, d)[1].frame(f"SELECT {t};")),
+        f"""WITH {_OD} SELECT {'count(*)' if _kind == 'count' else f'round({_kind}(value), 4)'} AS "{_kind}" FROM od WHERE {_condition}""",
+    )
+
+
+@_register("vq_select_data_at", f"WITH {_OD}, {_FIRST_ORDER} SELECT {_OD_KEY}, value FROM od WHERE timestamp = (SELECT timestamp FROM f)")
+def _vq_data_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, database = _stored_orders(spark, sf_dir)
+    return _shown(database.frame(f"SELECT DATA totalprice FROM orders AT {_some_order(spark, sf_dir).timestamp};"), ORDER_TAGS)
+
+
+@_register("vq_select_data_all_where", f"WITH {_OD} SELECT {_OD_KEY}, value FROM od WHERE tag_status = 'P'")
+def _vq_data_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, database = _stored_orders(spark, sf_dir)
+    return _shown(database.frame("SELECT DATA totalprice FROM orders ALL WHERE status=P;"), ORDER_TAGS)
+
+
+_PUTS = "PUT totalprice 5 1.5 INTO orders TAGS status=X; PUT totalprice 6 2.5 INTO orders TAGS status=X; PUT totalprice 6 3.5 INTO orders TAGS status=X; DELETE totalprice 5 FROM orders TAGS status=X;"
+
+
+@_register("vq_put_delete", f"WITH {_OD} SELECT tag_status, count(*) AS n, round(sum(value), 4) AS total FROM od GROUP BY 1 UNION ALL SELECT 'X', 1, 3.5")
+def _vq_put_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single writes by statements over stored ones."""
+    _, database = _stored_orders(spark, sf_dir)
+    points = database.run(_PUTS).get_table("orders").points()
+    return points.groupBy("tag_status").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@_register("builder_put_delete", f"WITH {_OD} SELECT tag_status, count(*) AS n, round(sum(value), 4) AS total FROM od GROUP BY 1 UNION ALL SELECT 'X', 1, 3.5")
+def _builder_put_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the builder, with a cached view between."""
+    table, _ = _stored_orders(spark, sf_dir)
+    table.cache()
+    table.query().put(5, "totalprice", {"status": "X"}, 1.5).execute()
+    table.query().put(6, "totalprice", {"status": "X"}, 3.5).execute()
+    table.query().remove(5, "totalprice", {"status": "X"}).execute()
+    return table.points().groupBy("tag_status").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @_register("tables_list", "SELECT * FROM (VALUES ('devices'), ('sensors')) t(name)")

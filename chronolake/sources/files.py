@@ -33,6 +33,10 @@ class Files:
         fs, p = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
 
+    def names(self, path: str) -> list[str]:
+        fs, p = self._at(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
     def write_json(self, path: str, data: Any) -> None:
         """Replace a file by a new one written beside it, so that readers see the one or the other."""
         fs, p = self._at(path)

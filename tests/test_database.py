@@ -166,3 +166,65 @@ def test_stream(db, spark, tmp_path):
     stream = spark.readStream.schema("timestamp long, metric string, tag_a string, value double").parquet(source)
     append_stream(stream, table, str(tmp_path / "cp")).awaitTermination()
     assert table.query().where_metric_is("m").sum() == 3
+
+
+def test_a_batch_that_was_cut_off_never_counts(db, spark, monkeypatch):
+    from chronolake.sources.changelog import ChangeLog
+
+    table = db.create_table("t", ["a"])
+    rows = spark.createDataFrame([(1, "m", "x", 1.0)], "timestamp long, metric string, tag_a string, value double")
+    save = ChangeLog._save
+    monkeypatch.setattr(ChangeLog, "_save", lambda self, **c: (_ for _ in ()).throw(OSError()) if "seq" in c else save(self, **c))
+    with pytest.raises(OSError):
+        table.put_points(rows)
+    monkeypatch.setattr(ChangeLog, "_save", save)
+    for opened in (table, Database(spark, db.path).get_table("t")):
+        assert opened.points().count() == 0
+    table = Database(spark, db.path).get_table("t")
+    table.put_points(rows.withColumn("metric", F.lit("n")))
+    assert [r["metric"] for r in table.points().collect()] == ["n"]
+    assert [r["metric"] for r in Database(spark, db.path).get_table("t").points().collect()] == ["n"]
+    table.compact()
+    assert table.points().count() == 1 and table.log.windows().collect()[0]["points"] == 1
+
+
+def test_single_writes_outlive_their_session(db, spark):
+    table = db.create_table("t", ["a"])
+    table.query().put(1, "m", {"a": "x"}, 1.0).execute()
+    table.query().put(2, "m", None, 2.0).execute()
+    again = Database(spark, db.path).get_table("t")
+    assert again.log.populated and {(r["timestamp"], r["tag_a"], r["value"]) for r in again.points().collect()} == {(1, "x", 1.0), (2, None, 2.0)}
+    again.query().remove(1, "m", {"a": "x"}).execute()
+    assert Database(spark, db.path).get_table("t").query().where_metric_is("m").count() == 1
+
+
+def test_bulk_writes_are_checked(db, spark):
+    table = db.create_table("t")
+    schema = "timestamp long, metric string, value double"
+    for row in ((None, "m", 1.0), (-1, "m", 1.0), (1, None, 1.0), (1, "", 1.0), (1, "m" * 16, 1.0), (1, "m", None)):
+        with pytest.raises(Exception, match="Invalid timestamp, metric or value"):
+            table.put_points(spark.createDataFrame([row], schema))
+    assert table.points().count() == 0
+    table.put_points(spark.createDataFrame([(1, "m", 1.0)], schema), stream=("s", 0))
+    table.put_points(spark.createDataFrame([(1, "m", 9.0)], schema), stream=("s", 0))
+    assert [r["value"] for r in table.points().collect()] == [1.0]
+
+
+def test_buckets_that_widen_with_age(db, spark):
+    table = db.create_table("t")
+    day = 86_400
+    rows = spark.range(0, 4000, 7).selectExpr(f"id * {day} + 5 AS timestamp", "'m' AS metric", "cast(id AS double) AS value")
+    table.put_points(rows)
+    wide = table.log.statistics()["buckets"]
+    table.compact_by_age(4000 * day)
+    assert table.log.statistics()["buckets"] < wide / 4 and table.points().count() == rows.count()
+    table.put_points(rows.where("value % 14 = 0").withColumn("value", F.lit(-1.0)))
+    for start in range(0, 4000, 333):
+        got = table.query().where_timestamp_between(start * day, (start + 100) * day).points()
+        want = rows.where(F.col("timestamp").between(start * day, (start + 100) * day))
+        assert got.count() == want.count()
+    assert table.query().where_timestamp_is(14 * day + 5).points().first()["value"] == -1.0
+    table.cache()
+    assert table.points().count() == rows.count()
+    table.query().put(3, "m", None, 1.0).execute()
+    assert table.points().count() == rows.count() + 1

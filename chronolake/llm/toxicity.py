@@ -214,40 +214,62 @@ class Reader:
 
     def __init__(self, channel: Channel):
         self.channel = channel
-        self.known: dict[str, tuple[str, ...]] = {}
+        self.known: dict[str, str | tuple[str, ...]] = {}
         self.parts: dict[str, tuple[str, bool] | None] = {}
         self.runs: dict[tuple[str, ...], tuple[str, ...]] = {}
 
-    @staticmethod
-    def _through(cache: dict, key, make):
-        if key in cache:
-            return cache[key]
-        value = make()
-        if len(cache) < CACHED:
-            cache[key] = value
+    def _restored(self, token: str) -> str | tuple[str, ...]:
+        found = self.channel.restore(token).split()
+        value = found[0] if len(found) == 1 else tuple(found)
+        if len(self.known) < CACHED:
+            self.known[token] = value
+        return value
+
+    def _part(self, token: str) -> tuple[str, bool] | None:
+        value = self.channel.fragment(token)
+        if len(self.parts) < CACHED:
+            self.parts[token] = value
         return value
 
     def _run(self, run: list[str]) -> tuple[str, ...]:
-        run = tuple(run)
-        return self._through(self.runs, run, lambda: tuple(self.channel.decode(*run).split()))
+        key = tuple(run)
+        value = self.runs.get(key)
+        if value is None:
+            value = tuple(self.channel.decode(*key).split())
+            if len(self.runs) < CACHED:
+                self.runs[key] = value
+        return value
 
     def words(self, text: str | None) -> set[str]:
         """Distinct restored words of a whole text. Runs of short fragments are also decoded as a whole, if they hold a suspicious one or three lone characters."""
         tokens = (text or "").lower().split()
-        different, found = set(tokens), set()
+        different, found, short, odd = set(tokens), set(), {}, False
+        known, parts = self.known, self.parts
         for t in different:
-            found.update(self._through(self.known, t, lambda t=t: tuple(self.channel.restore(t).split())))
-        short = {t: self._through(self.parts, t, lambda t=t: self.channel.fragment(t)) for t in different if len(t) <= 2 * FRAGMENT}
-        if any(p and (p[1] or len(p[0]) == 1) for p in short.values()):
-            run, odd, lone = [], False, 0
+            w = known.get(t)
+            if w is None:
+                w = self._restored(t)
+            if type(w) is str:
+                found.add(w)
+            else:
+                found.update(w)
+            if len(t) <= 2 * FRAGMENT:
+                part = parts[t] if t in parts else self._part(t)
+                if part is not None:
+                    short[t] = part
+                    odd = odd or part[1] or len(part[0]) == 1
+        if odd:
+            run: list[str] = []
+            odd, lone, get = False, 0, short.get
             for t in [*tokens, None]:
-                part = short.get(t)
+                part = get(t)
                 if part is None:
-                    if len(run) > 1 and (odd or lone >= 3):
-                        found.update(self._run(run))
-                        if lone == len(run) > 3:  # a word of one letter may stand before or after
-                            found.update(self._run(run[1:]), self._run(run[:-1]))
-                    run, odd, lone = [], False, 0
+                    if run:
+                        if len(run) > 1 and (odd or lone >= 3):
+                            found.update(self._run(run))
+                            if lone == len(run) > 3:  # a word of one letter may stand before or after
+                                found.update(self._run(run[1:]), self._run(run[:-1]))
+                        run, odd, lone = [], False, 0
                 elif part[0]:
                     run.append(part[0])
                     odd, lone = odd or part[1], lone + (len(part[0]) == 1)

@@ -205,6 +205,8 @@ def test_embeddings(spark, monkeypatch):
     assert embeddings.near_embeddings(table.limit(0)).count() == 0
     wide = spark.createDataFrame([(k, [1.0 + k] + [0.5] * (n - 1)) for k, n in enumerate((24, 24, 1048, 1048))], "vec_id long, embedding array<double>")
     assert {r["vec_id"]: r["component_id"] for r in embeddings.near_embeddings(wide, 0.5).collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
+    far = spark.createDataFrame([(k, [f * c for c in (1.0, 0.5, 0.25, 2.0)]) for k, f in enumerate((1.0, 1e300, 1e-300, -1.0))], "vec_id long, embedding array<double>")
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_embeddings(far).collect()} == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (0, 3)}
 
 
 def test_recall_near_the_threshold():

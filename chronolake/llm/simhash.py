@@ -107,7 +107,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     similarity of 0.8 or more, all pairs of them, each checked on the whole
     sets, not on fingerprints; a group is what such pairs connect. A null id
     sorts last; of repeated rows with one id the one with the smallest text
-    digest stays, and of equal rows one. All columns are kept.
+    digest stays, and of equal rows one. Null and blank texts are one group;
+    very long texts are read whole; an empty table gives no rows. All columns are
+    kept, whatever their names.
     """
     key, one, two, other = spare(docs.columns, "near_id", "near_text1", "near_text2", "near_other")
     marked = docs.withColumns({key: F.col("doc_id"), one: F.xxhash64("doc_id", "text"), two: F.hash("doc_id", "text", F.lit(1))})

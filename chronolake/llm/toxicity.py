@@ -20,6 +20,8 @@ MAX_LABELLED = 12_000
 MIN_RATIO = 4.5
 THRESHOLD = 0.7
 MODULUS, REST = 3, 1
+#: Beginnings of words that are weighed too, for forms that no labelled document holds.
+BEGINNINGS = (3, 4, 5)
 #: Parts of the labelled rows; trees learn from words weighed without a row's own part.
 FOLDS = 3
 
@@ -278,17 +280,21 @@ class Reader:
 
 
 def features(word: str) -> list[str]:
-    """A word, and its beginnings of three to five letters."""
-    return [f"={word}", *(f"^{word[:n]}" for n in (3, 4, 5) if len(word) >= n)]
+    """A word, and its beginnings of BEGINNINGS letters."""
+    return [f"={word}", *(f"^{word[:n]}" for n in BEGINNINGS if len(word) >= n)]
 
 
 def summary(found: set[str], weights: dict[str, float], known: dict[str, float]) -> list[float]:
-    """Largest and summed log-odds of the words, number of strong ones, also against the text's length."""
+    """Largest and summed log-odds of the words, number of strong ones, also against the text's length.
+
+    A word that is known to weigh nothing does so, whatever its beginnings weigh.
+    """
     hits = []
     for w in found:
         x = known.get(w)
         if x is None:
-            x = max(map(weights.get, features(w), (0.0, 0.0, 0.0, 0.0)))
+            own, *beginnings = (weights.get(f) for f in features(w))
+            x = 0.0 if own == 0.0 else max(own or 0.0, *(b or 0.0 for b in beginnings), 0.0)
             if len(known) < CACHED:
                 known[w] = x
         if x > 0:
@@ -303,6 +309,17 @@ def _weigh(t: np.ndarray, n: np.ndarray, toxic: int, rows: int) -> np.ndarray:
     return np.where(t >= 2, odds - 2 / np.sqrt(t + 0.5), 0.0)
 
 
+def _clean_words(seen: DataFrame, beginnings: list[str]) -> pd.DataFrame:
+    """Rows of ``seen`` of words that begin with one of ``beginnings`` and that no toxic document holds, or none outside one fold."""
+    alone = F.lit(False)
+    for k in range(FOLDS):
+        alone = alone | ((F.col("t") == F.col(f"t{k}")) & (F.col("n") > F.col(f"n{k}")))
+    begins = F.lit(False)
+    for n in BEGINNINGS:
+        begins = begins | F.concat(F.lit("^"), F.substring("f", 2, n)).isin([f for f in beginnings if len(f) == n + 1])
+    return seen.where(F.col("f").startswith("=")).where(begins & ((F.col("t") == 0) | alone)).toPandas()
+
+
 def train(docs: DataFrame, labels: DataFrame, channel: Channel, max_labelled: int = MAX_LABELLED) -> tuple[dict[str, float], Forest]:
     """Word weights of all usable labelled rows, and trees over their summaries.
 
@@ -331,17 +348,19 @@ def train(docs: DataFrame, labels: DataFrame, channel: Channel, max_labelled: in
 
     each = found.mapInPandas(expand, "toxic int, fold int, f array<string>").select("toxic", "fold", F.explode("f").alias("f"))
     sums = [F.sum(F.when(F.col("fold") == k, x).otherwise(0)).alias(f"{name}{k}") for k in range(FOLDS) for name, x in (("t", F.col("toxic")), ("n", F.lit(1)))]
-    seen = each.groupBy("f").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"), *sums).where("t >= 2")
+    seen = fence(each.groupBy("f").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"), *sums))
     ratio = (F.col("t") + 0.5) / (F.col("n") - F.col("t") + 0.5)
-    kept = seen.where(ratio > MIN_RATIO * (toxic + 1) / (rows - toxic + 1)).toPandas()  # at most the words of the labelled rows
+    kept = seen.where("t >= 2").where(ratio > MIN_RATIO * (toxic + 1) / (rows - toxic + 1)).toPandas()  # at most the words of the labelled rows
     kept = kept.sort_values("f", ignore_index=True)
+    clean = _clean_words(seen, [f for f in kept["f"] if f[0] == "^"])
     names = kept["f"].tolist()
     every = _weigh(kept["t"].to_numpy(float), kept["n"].to_numpy(float), toxic, rows)
-    weights = {f: w for f, w in zip(names, every.tolist(), strict=True) if w > 0}
+    weights = {f: w for f, w in zip(names, every.tolist(), strict=True) if w > 0} | dict.fromkeys(clean["f"][clean["t"] == 0].tolist(), 0.0)
     without = {}
     for k, (t, n) in sizes.items():
         part = _weigh((kept["t"] - kept[f"t{k}"]).to_numpy(float), (kept["n"] - kept[f"n{k}"]).to_numpy(float), toxic - t, rows - n)
-        without[k] = {f: w for f, w in zip(names, part.tolist(), strict=True) if w > 0}
+        known_clean = clean["f"][(clean["t"] == clean[f"t{k}"]) & (clean["n"] > clean[f"n{k}"])]
+        without[k] = {f: w for f, w in zip(names, part.tolist(), strict=True) if w > 0} | dict.fromkeys(known_clean.tolist(), 0.0)
 
     def summed(batches):
         scores: dict[int, dict[str, float]] = {k: {} for k in without}

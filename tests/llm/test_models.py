@@ -221,3 +221,19 @@ def test_recall_near_the_threshold():
     x, y = embeddings.buckets(a), embeddings.buckets(c * a + np.sqrt(1 - c * c) * e)
     met = ((y == x[:, :, :1]).any(axis=2) | (x == y[:, :, :1]).any(axis=2)).any(axis=1)
     assert met.mean() >= 0.9
+
+
+def test_known_clean_words_weigh_nothing():
+    weights = {"^idi": 2.0, "=idiot": 3.0, "=idiom": 0.0}
+    assert toxicity.summary({"idiom"}, weights, {}) == [0.0] * 5
+    assert toxicity.summary({"idiotic"}, weights, {})[0] == 2.0
+    assert toxicity.summary({"idiot", "idiom"}, weights, {})[:3] == [3.0, 3.0, 1.0]
+
+
+def test_words_of_clean_labelled_documents_outweigh_their_beginnings(spark):
+    texts = [(k, f"{prose(7000 + k, 40)} {('idiot idiots' if k % 2 else 'idiom idiosyncrasy')}", "a") for k in range(240)]
+    known = spark.createDataFrame([(k, 1, k % 2) for k in range(240)], "doc_id long, quality int, toxic int")
+    new = [(9000, f"{prose(8000, 40)} idiom", "a"), (9001, f"{prose(8001, 40)} idiosyncrasy", "a"), (9002, f"{prose(8002, 40)} idiot idiots", "a")]
+    docs = spark.createDataFrame(rows_of(texts + new), SCHEMA)
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.classify(docs, known).where("doc_id >= 9000").collect()}
+    assert found == {9000: 0, 9001: 0, 9002: 1}

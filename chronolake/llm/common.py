@@ -7,7 +7,7 @@ import contextlib
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,23 +31,38 @@ def _shared(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "chronolake-checkpoints")
 
 
+@contextlib.contextmanager
+def _swept(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries that are built and run inside go when these end, not only when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fence(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage.
 
     The folder is spark.checkpoint.dir; only where that is unset and Spark runs
-    in one process (tests) a temporary one is used.
+    in one process (tests) a temporary one is used. Nothing reads the shuffles
+    behind a cut again, so they are removed.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(_shared(df.sparkSession))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(_shared(spark))
+    with _swept(spark):
+        return df.select("*").checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """The same cut by a Parquet table in that folder, which takes less room than a checkpoint; it goes when Python ends."""
     spark = df.sparkSession
     path = f"{_shared(spark).rstrip('/')}/chronolake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _swept(spark):
+        df.select("*").write.parquet(path)
     atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

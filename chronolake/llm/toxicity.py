@@ -41,8 +41,8 @@ _STRETCHED = re.compile(r"(?:([^\W\d_])\1+){3,}")
 LONE, OTHER, INSERT = (0.0, 0.5), (2.5, 0.0), 7.0
 #: Words of at most this many characters may be parts of a word. Those with a smaller share of all words are suspicious.
 FRAGMENT, RARE = 3, 2e-5
-#: Entries of each cache of a task; what doesn't fit is worked out again.
-CACHED = 500_000
+#: Entries of each cache of a task; a full one starts anew.
+CACHED = 200_000
 CODES = 64
 
 
@@ -100,6 +100,13 @@ def character_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return counts[: CODES**3], counts[CODES**3 :]
 
 
+def _keep(cache: dict, key, value):
+    if len(cache) >= CACHED:
+        cache.clear()
+    cache[key] = value
+    return value
+
+
 class Channel:
     """Restores obfuscated words: the likeliest reading under a character model and channel costs."""
 
@@ -222,24 +229,16 @@ class Reader:
 
     def _restored(self, token: str) -> str | tuple[str, ...]:
         found = self.channel.restore(token).split()
-        value = found[0] if len(found) == 1 else tuple(found)
-        if len(self.known) < CACHED:
-            self.known[token] = value
-        return value
+        return _keep(self.known, token, found[0] if len(found) == 1 else tuple(found))
 
     def _part(self, token: str) -> tuple[str, bool] | None:
-        value = self.channel.fragment(token)
-        if len(self.parts) < CACHED:
-            self.parts[token] = value
-        return value
+        return _keep(self.parts, token, self.channel.fragment(token))
 
     def _run(self, run: list[str]) -> tuple[str, ...]:
         key = tuple(run)
         value = self.runs.get(key)
         if value is None:
-            value = tuple(self.channel.decode(*key).split())
-            if len(self.runs) < CACHED:
-                self.runs[key] = value
+            value = _keep(self.runs, key, tuple(self.channel.decode(*key).split()))
         return value
 
     def words(self, text: str | None) -> set[str]:
@@ -295,8 +294,7 @@ def summary(found: set[str], weights: dict[str, float], known: dict[str, float])
         if x is None:
             own, *beginnings = (weights.get(f) for f in features(w))
             x = 0.0 if own == 0.0 else max(own or 0.0, *(b or 0.0 for b in beginnings), 0.0)
-            if len(known) < CACHED:
-                known[w] = x
+            _keep(known, w, x)
         if x > 0:
             hits.append(x)
     hits.sort(reverse=True)

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 import xxhash
 
-from chronolake.llm import bwt, decontamination, licenses, mixing, secrets, simhash, substrings
+from chronolake.llm import bwt, decontamination, licenses, mixing, nearcopies, secrets, simhash, substrings
 
 from .conftest import SCHEMA, prose, rows_of
 
@@ -119,6 +119,43 @@ def test_keep_one_against_all_pairs(spark):
     assert got == {i for i, p in enumerate(parent) if i == p} and 20 < len(got) < 60
 
 
+@pytest.mark.parametrize("wide", [0, 2_000_000])
+def test_multi_index_pairs_of_sets(spark, monkeypatch, wide):
+    monkeypatch.setattr(nearcopies, "WIDE", wide)
+    r = random.Random(11)
+    codes = [r.getrandbits(64) for _ in range(300)]
+    codes += [c ^ sum(1 << b for b in r.sample(range(64), 1 + k % 16)) for k, c in enumerate(codes)] + codes[:5]
+    rows = [(k, c - (1 << 64) if c >> 63 else c) for k, c in enumerate(codes)]
+    found = [(x["a"], x["b"], x["d"]) for x in nearcopies.simhash_pairs(spark.createDataFrame(rows, "s long, fp long").repartition(3)).collect()]
+    every = {(a, b): (codes[a] ^ codes[b]).bit_count() for b in range(len(codes)) for a in range(b)}
+    assert len(found) == len({(a, b) for a, b, _ in found}) and all(every[a, b] == d <= nearcopies.REACH for a, b, d in found)
+    sure = 2 * (len(nearcopies.BLOCKS) if wide else len(nearcopies.WIDE_BLOCKS)) - 1
+    assert {p for p, d in every.items() if d <= sure} <= {(a, b) for a, b, _ in found}
+    # a large bucket gives no list of all its pairs, but joins all its sets, however it is cut into batches
+    group = [(k, k % 4) for k in range(25_000)]
+    links = nearcopies.simhash_pairs(spark.createDataFrame(group, "s long, fp long")).collect()
+    assert len(links) < 10 * len(group)
+    parent = list(range(len(group)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for x in links:
+        parent[root(x["a"])] = root(x["b"])
+    assert len({root(x) for x in parent}) == 1
+
+
+def test_near_copies_come_from_multi_index_hashing(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "_prefix", lambda found, values, ranks: found[:0])  # nothing for the join of rare shingles
+    texts = []
+    for k in range(8):
+        text = prose(900 + k, 300)
+        texts += [text, f"{text} more", f"some {text}"]
+    assert sorted(r["doc_id"] for r in simhash.keep_one(documents(spark, texts)).collect()) == list(range(0, 24, 3))
+
+
 def test_common_filler_does_not_drop_clean_documents(spark):
     texts = [f"{'filler ' * 120}{prose(800 + k, 60)} {'filler ' * 30}" for k in range(6)] + ["filler " * 50, "filler " * 80]
     assert len({simhash.fingerprint(t) for t in texts}) == 1

@@ -44,6 +44,11 @@ FRAGMENT, RARE = 3, 2e-5
 #: Entries of each cache of a task; a full one starts anew.
 CACHED = 200_000
 CODES = 64
+#: A reading, the channel's cost of it, and its symbols.
+Step = tuple[str, float, tuple[int, ...]]
+#: Steps between the characters of a long fragment, and at the end.
+HIDDEN: list[Step] = [("", 0.0, ()), (" ", INSERT, (0,))]
+EDGE: list[Step] = [(" ", 0.0, (0,))]
 
 
 def code(points: np.ndarray) -> np.ndarray:
@@ -119,56 +124,66 @@ class Channel:
         self.flat = memoryview(self.cost.ravel())
         rare = np.zeros(CODES**FRAGMENT) if short is None else short
         self.common = set(np.flatnonzero(rare > RARE * single[0]).tolist()) if single[0] else set()
+        self.coded: dict[tuple[str, int], list[Step]] = {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "flat"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("flat", "coded")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self.flat = memoryview(self.cost.ravel())  # reads single costs much faster than the array; doesn't travel
-
-    def readings(self, word: str) -> list[list[tuple[str, float]]]:
-        """For each run of one character its readings, each with the channel's cost."""
-        steps = []
+        self.coded = {}
+
+    def _step(self, ch: str, n: int) -> list[Step]:
+        if ch in LEET:
+            found = [(x * k, 1.0 + 0.5 * (k != n)) for x in LEET[ch] for k in {1, min(n, 2)}] + [("", 25.0 if ch.isdigit() else 9.0)]
+        elif ch.isalpha():
+            found = [(ch, 0.0)] if n == 1 else [(ch, 1.5 if n == 2 else 0.2), (ch * 2, 0.0 if n == 2 else 1.0)]
+        else:
+            found = [("", 0.5 if ch in SEPARATORS else 3.0)]
+        return _keep(self.coded, (ch, n), [(reading, extra, _symbols(reading)) for reading, extra in found])
+
+    def readings(self, word: str) -> list[list[Step]]:
+        """For each run of one character its readings, each with the channel's cost and its symbols."""
+        steps, get = [], self.coded.get
         for ch, run in groupby(word):
-            n = len(list(run))
-            if ch in LEET:
-                steps.append([(x * k, 1.0 + 0.5 * (k != n)) for x in LEET[ch] for k in {1, min(n, 2)}] + ([("", 25.0 if ch.isdigit() else 9.0)]))
-            elif ch.isalpha():
-                steps.append([(ch, 0.0)] if n == 1 else [(ch, 1.5 if n == 2 else 0.2), (ch * 2, 0.0 if n == 2 else 1.0)])
-            else:
-                steps.append([("", 0.5 if ch in SEPARATORS else 3.0)])
+            n = len([*run])
+            steps.append(get((ch, n)) or self._step(ch, n))
         return steps
 
-    def lattice(self, parts: list[str]) -> list[list[tuple[str, float]]]:
+    def lattice(self, parts: tuple[str, ...]) -> list[list[Step]]:
         """Steps of fragments: what stands between two may be a boundary or nothing, and long ones may hide a boundary."""
-        steps: list[list[tuple[str, float]]] = []
+        steps: list[list[Step]] = []
         for k, part in enumerate(parts):
             if k:
                 out, kept = LONE if len(part) == len(parts[k - 1]) == 1 else OTHER
-                steps.append([("", out), (" ", kept)])
+                steps.append([("", out, ()), (" ", kept, (0,))])
             own = self.readings(part)
-            for i, step in enumerate(own):
-                if i and len(part) > 2 * FRAGMENT:
-                    steps.append([("", 0.0), (" ", INSERT)])
-                steps.append(step)
+            if len(part) > 2 * FRAGMENT:
+                steps.append(own[0])
+                for step in own[1:]:
+                    steps += (HIDDEN, step)
+            else:
+                steps += own
         return steps
 
     def decode(self, *parts: str) -> str:
         """Viterbi over the lattice; a state is the last two symbols, with the cost and the chain of readings so far."""
-        flat = self.flat
-        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-        for step in [*self.lattice(list(parts)), [(" ", 0.0)]]:
-            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-            coded = [(reading, extra, _symbols(reading)) for reading, extra in step]
-            for (a, b), (cost, chain) in states.items():
-                for reading, extra, symbols in coded:
-                    x, y, total = a, b, cost + extra
+        flat, last = self.flat, CODES * CODES - 1
+        states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+        for step in [*self.lattice(parts), EDGE]:
+            after: dict[int, tuple[float, tuple | None]] = {}
+            get = after.get
+            for state, (cost, chain) in states.items():
+                for reading, extra, symbols in step:
+                    to, total = state, cost + extra
                     for s in symbols:
-                        total += flat[(x * CODES + y) * CODES + s]
-                        x, y = y, s
-                    if (x, y) not in after or total < after[x, y][0]:
-                        after[x, y] = (total, (chain, reading) if reading else chain)
+                        at = to * CODES + s
+                        total += flat[at]
+                        to = at & last
+                    old = get(to)
+                    if old is None or total < old[0]:
+                        after[to] = (total, (chain, reading) if reading else chain)
             states = after
         chain, out = min(states.values(), key=lambda v: v[0])[1], []
         while chain:
@@ -190,10 +205,10 @@ class Channel:
         A word with doubled letters is clean if it isn't likelier with single
         ones.
         """
-        if token.isalpha() and not _STRETCHED.fullmatch(token):
+        if token.isalpha():
             if _CLEAN.fullmatch(token):
                 return token
-            if not _TRIPLED.search(token) and self.length(token) <= self.length("".join(ch for ch, _ in groupby(token))) + 1.0:
+            if not _STRETCHED.fullmatch(token) and not _TRIPLED.search(token) and self.length(token) <= self.length("".join(ch for ch, _ in groupby(token))) + 1.0:
                 return token
         core = _EDGE.sub("", token)
         if _STRETCHED.fullmatch(core):
@@ -223,12 +238,19 @@ class Reader:
 
     def __init__(self, channel: Channel):
         self.channel = channel
+        #: Words that are read as they are and aren't short; the others are in ``known``.
+        self.plain: set[str] = set()
         self.known: dict[str, str | tuple[str, ...]] = {}
         self.parts: dict[str, tuple[str, bool] | None] = {}
         self.runs: dict[tuple[str, ...], tuple[str, ...]] = {}
 
     def _restored(self, token: str) -> str | tuple[str, ...]:
         found = self.channel.restore(token).split()
+        if found == [token] and (len(token) > 2 * FRAGMENT or self._part(token) is None):
+            if len(self.plain) >= CACHED:
+                self.plain.clear()
+            self.plain.add(token)
+            return token
         return _keep(self.known, token, found[0] if len(found) == 1 else tuple(found))
 
     def _part(self, token: str) -> tuple[str, bool] | None:
@@ -244,9 +266,10 @@ class Reader:
     def words(self, text: str | None) -> set[str]:
         """Distinct restored words of a whole text. Runs of short fragments are also decoded as a whole, if they hold a suspicious one or three lone characters."""
         tokens = (text or "").lower().split()
-        different, found, short, odd = set(tokens), set(), {}, False
+        different, short, odd = set(tokens), {}, False
         known, parts = self.known, self.parts
-        for t in different:
+        found = different & self.plain
+        for t in different - found:
             w = known.get(t)
             if w is None:
                 w = self._restored(t)
@@ -260,20 +283,19 @@ class Reader:
                     short[t] = part
                     odd = odd or part[1] or len(part[0]) == 1
         if odd:
-            run: list[str] = []
-            odd, lone, get = False, 0, short.get
-            for t in [*tokens, None]:
-                part = get(t)
-                if part is None:
-                    if run:
-                        if len(run) > 1 and (odd or lone >= 3):
-                            found.update(self._run(run))
-                            if lone == len(run) > 3:  # a word of one letter may stand before or after
-                                found.update(self._run(run[1:]), self._run(run[:-1]))
-                        run, odd, lone = [], False, 0
-                elif part[0]:
-                    run.append(part[0])
-                    odd, lone = odd or part[1], lone + (len(part[0]) == 1)
+            for is_short, group in groupby(tokens, short.__contains__):
+                if not is_short:
+                    continue
+                run: list[str] = []
+                odd, lone = False, 0
+                for core, suspicious in map(short.__getitem__, group):
+                    if core:
+                        run.append(core)
+                        odd, lone = odd or suspicious, lone + (len(core) == 1)
+                if len(run) > 1 and (odd or lone >= 3):
+                    found.update(self._run(run))
+                    if lone == len(run) > 3:  # a word of one letter may stand before or after
+                        found.update(self._run(run[1:]), self._run(run[:-1]))
         found.discard("")
         return found
 
@@ -288,15 +310,15 @@ def summary(found: set[str], weights: dict[str, float], known: dict[str, float])
 
     A word that is known to weigh nothing does so, whatever its beginnings weigh.
     """
-    hits = []
-    for w in found:
-        x = known.get(w)
-        if x is None:
-            own, *beginnings = (weights.get(f) for f in features(w))
-            x = 0.0 if own == 0.0 else max(own or 0.0, *(b or 0.0 for b in beginnings), 0.0)
-            _keep(known, w, x)
-        if x > 0:
-            hits.append(x)
+    new = {}
+    for w in found.difference(known):
+        own, *beginnings = map(weights.get, features(w))
+        new[w] = 0.0 if own == 0.0 else max(own or 0.0, *(b or 0.0 for b in beginnings), 0.0)
+    hits = [*filter(None, map(known.get, found)), *filter(None, new.values())]
+    if len(known) + len(new) > CACHED:
+        known.clear()
+    if len(new) <= CACHED:
+        known.update(new)
     hits.sort(reverse=True)
     return [hits[0] if hits else 0.0, sum(hits[:3]), float(len(hits)), len(hits) / (1 + len(found)), float(sum(x > 3 for x in hits))]
 

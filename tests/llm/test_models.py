@@ -94,6 +94,24 @@ def test_lattice_decoding():
     assert toxicity.Reader(channel).words("the clown of and 1234 56") == {"the", "clown", "of", "and", "1234", "56"}
 
 
+def test_steps_are_coded_once_and_plain_words_looked_up_together(monkeypatch):
+    channel = toxicity.Channel(np.ones(toxicity.CODES**3))
+    text = "wonderful readings of 1d10t, stuuuupid c l o w n and wonderful st up id"
+    coded, symbols = [], toxicity._symbols
+    monkeypatch.setattr(toxicity, "_symbols", lambda reading: coded.append(reading) or symbols(reading))
+    assert channel.decode("1d10t") and coded
+    coded.clear()
+    assert channel.decode("1d10t", "0t1d") and not coded  # all runs are known by now
+    reader = toxicity.Reader(channel)
+    found = reader.words(text)
+    assert {"wonderful", "readings"} <= reader.plain & found and not reader.plain & reader.known.keys()
+    # caches that are always full change nothing
+    monkeypatch.setattr(toxicity, "CACHED", 1)
+    assert toxicity.Reader(toxicity.Channel(np.ones(toxicity.CODES**3))).words(text) == found
+    known, weights = {}, {"=wonderful": 2.0, "^rea": 1.0}
+    assert [toxicity.summary(found, weights, known) for _ in range(2)] == [toxicity.summary(found, weights, {})] * 2 and len(known) <= 1
+
+
 # Personal data
 
 

@@ -361,6 +361,35 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_links_in_one_task(spark):
+    from chronolake.llm.components import connected_components
+
+    r, sc = random.Random(8), spark.sparkContext
+    links = [(r.randrange(-400, 400), r.randrange(-400, 400)) for _ in range(380)] + [(k, k + 1) for k in range(1000, 1300)] + [(2**62 + 1, 2**62), (None, 5), (7, 7)]
+    table = spark.createDataFrame(links, "a long, b long")
+    rounds, jobs = dict(connected_components(table).collect()), {}
+    for few in (0, len(links) - 1, len(links)):
+        sc.setJobGroup(f"few {few}", "")
+        assert dict(connected_components(table, few=few).collect()) == rounds
+        jobs[few] = len(sc.statusTracker().getJobIdsForGroup(f"few {few}"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[len(links)] < jobs[0] / 4
+    assert connected_components(spark.createDataFrame([], "a long, b long"), few=9).count() == 0
+
+
+def test_near_copies_has_few_fences_in_components(spark, monkeypatch):
+    from chronolake.llm import components
+
+    cuts, cut = [], components.fence
+    monkeypatch.setattr(components, "fence", lambda df: cuts.append(df) or cut(df))
+    # a chain: each text is alike to the next only
+    words = prose(70, 400).split()
+    texts = [(k, " ".join(words[4 * k : 4 * k + 80]), "a") for k in range(40)]
+    got = simhash.keep_one(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()
+    assert [x["doc_id"] for x in got] == [0]
+    assert len(cuts) <= 6
+
+
 # All of them
 
 
